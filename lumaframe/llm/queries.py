@@ -4,7 +4,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import jump_shard, secret_scan
+from . import decontam, jump_shard, secret_scan
+
+
+def op2_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), F.col("_contaminated").alias("contaminated"),
+    )
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +28,5 @@ def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op6_secret_scan": op6_secret_scan, "op9_jump_sharding": op9_jump_sharding}
+QUERIES = {"op2_winnow_decontam": op2_winnow_decontam, "op6_secret_scan": op6_secret_scan, "op9_jump_sharding": op9_jump_sharding}
 ORACLES: dict[str, str] = {}

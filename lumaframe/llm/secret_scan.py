@@ -82,11 +82,11 @@ def scan(docs: DataFrame, scope: int = 400, doc_id: str = "doc_id", text: str =
 
 def with_spans(docs: DataFrame, scope: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the column _spans, empty where nothing was found."""
-    found = scan(docs, scope, doc_id, text).withColumnsRenamed({"_id": "_found_id", "_h": "_found_h"})
+    found = scan(docs, scope, doc_id, text).withColumnsRenamed({"_id": "_found_id", "_h": "_found_h", "spans": "_found_spans"})
     keyed = docs.withColumn("_h", row_key(text))
     joined = keyed.join(found, keyed[doc_id].eqNullSafe(found["_found_id"]) & (keyed["_h"] == found["_found_h"]), "left")
     none = F.expr("cast(array() as array<struct<start: bigint, order: int, end: bigint>>)")
-    return joined.withColumn("_spans", F.coalesce(F.col("spans"), none)).select(*(keyed[c] for c in docs.columns), "_spans")
+    return joined.withColumn("_spans", F.coalesce(F.col("_found_spans"), none)).select(*(keyed[c] for c in docs.columns), "_spans")
 
 
 def spelled(spans: Column) -> Column:
