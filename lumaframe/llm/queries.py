@@ -4,7 +4,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import decontam, jump_shard, secret_scan
+from . import crossparse, decontam, feistel, jump_shard, quality_qda, records, secret_scan
+
+
+def vocabulary(name: str, folder: str | None = None) -> str:
+    """The path of a public tokenizer's file, in `folder` or where the package public_tokenizers keeps them."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +24,11 @@ def op2_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", (crossparse.fold(F.col("doc_id")) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("_spans", lambda s: s["order"] < len(secret_scan.BASE))
@@ -24,9 +38,25 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", *(F.col(f"_n_{k}").alias(f"n_{k}") for k in feistel.KINDS))
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    path = records.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json", tokenizers))
+    return records.read(spark, path, with_ids=False)
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op2_winnow_decontam": op2_winnow_decontam, "op6_secret_scan": op6_secret_scan, "op9_jump_sharding": op9_jump_sharding}
+def op10_crossparse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = crossparse.identify(docs.select("doc_id", "text"), crossparse.fit(docs))
+    return found.select("doc_id", (crossparse.fold(F.col("doc_id")) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op2_winnow_decontam, op3_quality_qda, op6_secret_scan, op7_feistel_pii, op8_token_records, op9_jump_sharding, op10_crossparse_language)}
 ORACLES: dict[str, str] = {}
