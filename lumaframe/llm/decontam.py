@@ -17,22 +17,25 @@ from .storage import row_key, written
 WINDOW = 13
 #: A fingerprint covers K words and is the least of W in a row: K + W - 1 == WINDOW.
 K, W = 8, 6
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before A-Z are put in lower case.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, before and after A-Z are put in lower case. Splitting is several times faster here than extracting.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The benchmark's fingerprints and windows are broadcast up to so many rows (16 bytes each for fingerprints); beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 
 
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN, -1), "")
+
+
 def exact_words(text: Column) -> Column:
     """Words with A-Z in lower case; other letters as they are."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    return words(F.translate(text, _UPPER, _LOWER))
 
 
 def coarse_hashes(text: Column) -> Column:
     """The hash of each word in lower case of any script: equal wherever exact_words are equal, and faster. Only for finding candidates."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
+    return F.transform(words(text), lambda w: F.xxhash64(F.lower(w)))
 
 
 def _each(n: Column, f) -> Column:
@@ -52,14 +55,15 @@ def least(g: str, w: int) -> Column:
     return F.array_distinct(_each(F.size(g) - (w - 1), lambda i: F.array_min(F.slice(g, i, w))))
 
 
+# explode_outer, as Spark puts a filter on the array below explode, and there, too, it would compute what the columns stand for at each position.
 def fingerprints(hashed: DataFrame, *keep: str) -> DataFrame:
     """fp, beside the columns to keep, for each fingerprint of the word hashes in column h."""
-    return hashed.select(*keep, runs("h", K).alias("g")).select(*keep, F.explode(least("g", W)).alias("fp"))
+    return hashed.select(*keep, runs("h", K).alias("g")).select(*keep, F.explode_outer(least("g", W)).alias("fp")).where("fp is not null")
 
 
 def grams(hashed: DataFrame, n: int, *keep: str) -> DataFrame:
     """fp, beside the columns to keep, for each distinct run of n word hashes."""
-    return hashed.select(*keep, F.explode(F.array_distinct(runs("h", n))).alias("fp"))
+    return hashed.select(*keep, F.explode_outer(F.array_distinct(runs("h", n))).alias("fp")).where("fp is not null")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -68,9 +72,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """window (its words, joined by a blank), n words, items (ids as strings), head (the coarse hash of a short window)."""
-    words = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), exact_words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), exact_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(WINDOW))
-    each = words.select("item", n.alias("n"), F.explode(_each(F.size("w") - n + 1, lambda i: F.array_join(F.slice("w", i, WINDOW), " "))).alias("window"))
+    each = items.select("item", n.alias("n"), F.explode_outer(_each(F.size("w") - n + 1, lambda i: F.array_join(F.slice("w", i, WINDOW), " "))).alias("window"))
     return each.groupBy("window", "n").agg(F.collect_set("item").alias("items"))
 
 
@@ -95,13 +99,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     starts = []
     for k, is_short in [(K, False), *((n, True) for n in short)]:
         own = F.expr(f"transform(filter(marks, m -> m.k = {k} and m.short = {is_short}), m -> m.fp)")
-        at = near.select("_id", "_h", "w", own.alias("own"), runs("h", k).alias("g")).where(F.size("own") > 0)
-        at = at.select("_id", "_h", "w", F.posexplode("g").alias("i", "fp"), "own").where(F.array_contains("own", F.col("fp")))
-        if is_short:
-            starts.append(at.select("_id", "_h", (F.col("i") + 1).alias("s"), F.lit(k).alias("n"), F.array_join(F.slice("w", F.col("i") + 1, k), " ").alias("window")))
-        else:  # W starts reach a run, and a window that starts there must fit
-            long = at.select("_id", "_h", "w", F.explode(F.sequence(F.greatest(F.col("i") + 2 - W, F.lit(1)), F.col("i") + 1)).alias("s")).where(F.col("s") <= F.size("w") - (WINDOW - 1))
-            starts.append(long.select("_id", "_h", "s", F.lit(WINDOW).alias("n"), F.array_join(F.slice("w", F.col("s"), WINDOW), " ").alias("window")))
+        at = near.select("_id", "_h", "w", own.alias("own"), runs("h", k).alias("g"))
+        at = at.select("_id", "_h", "w", F.when(F.size("own") > 0, F.filter(F.transform("g", lambda x, i: F.when(F.array_contains("own", x), i + 1)), lambda i: i.isNotNull())).alias("at"))
+        n = k if is_short else WINDOW
+        if not is_short:  # W starts reach a run, and a window that starts there must fit
+            reach = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - (W - 1), F.lit(1)), i))))
+            at = at.select("_id", "_h", "w", reach.alias("at"))
+        at = at.select("_id", "_h", "w", F.filter("at", lambda s: s <= F.size("w") - (n - 1)).alias("at"))
+        starts.append(at.select("_id", "_h", F.explode_outer(F.transform("at", lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), F.array_join(F.slice("w", s, n), " ").alias("window")))).alias("x")).where("x is not null").select("_id", "_h", "x.*"))
     each = starts[0]
     for more in starts[1:]:
         each = each.unionByName(more)
@@ -115,7 +120,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """docs with _n_words, _n_hit, _items and _contaminated (share * n_hit >= n_words, and any hit) added."""
     found = hits(docs, benchmark, doc_id, text, item_id).withColumnsRenamed({"_id": "_fid", "_h": "_fh", "n_hit": "_fhit", "items": "_fitems"})
-    keyed = docs.withColumn("_h", row_key(text)).withColumn("_n_words", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("long"))
+    keyed = docs.withColumn("_h", row_key(text)).withColumn("_n_words", F.size(words(F.col(text))).cast("long"))
     joined = keyed.join(found, keyed[doc_id].eqNullSafe(found["_fid"]) & (keyed["_h"] == found["_fh"]), "left")
     n_hit = F.coalesce(F.col("_fhit"), F.lit(0))
     return joined.select(

@@ -33,7 +33,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("_spans", lambda s: s["order"] < len(secret_scan.BASE))
     return found.select(
-        "doc_id", *(F.size(F.filter("_spans", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secret_scan.BASE)),
+        "doc_id", *(F.expr(f"cast(size(filter(_spans, s -> s.order = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(secret_scan.BASE)),
         F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"), secret_scan.spelled(F.col("_spans")).alias("spans"),
     )
 

@@ -79,6 +79,7 @@ def test_redact(spark):
 
 
 def test_op6_digest(spark, sf_dir):
+    sf_dir = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op6_secret_scan(spark, sf_dir).collect():
         want = base_spans(docs[r.doc_id])
