@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import crossparse, decontam, feistel, jump_shard, quality_qda, records, secret_scan
+from . import bpe_words, crossparse, decontam, feistel, jump_shard, quality_qda, records, secret_scan
 
 
 def vocabulary(name: str, folder: str | None = None) -> str:
@@ -16,6 +16,10 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bpe_words(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return bpe_words.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json", tokenizers), digest=True)
+
+
 def op2_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -58,5 +62,5 @@ def op10_crossparse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crossparse.fold(F.col("doc_id")) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op2_winnow_decontam, op3_quality_qda, op6_secret_scan, op7_feistel_pii, op8_token_records, op9_jump_sharding, op10_crossparse_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe_words, op2_winnow_decontam, op3_quality_qda, op6_secret_scan, op7_feistel_pii, op8_token_records, op9_jump_sharding, op10_crossparse_language)}
 ORACLES: dict[str, str] = {}
