@@ -12,22 +12,22 @@ rows equal in id and text share their result, and each is returned; null ids are
 """
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .codepoints import batches, slices
+from .codepoints import PrefixHash, batches, codes, slices
 from .pretokens import Encoder, distinct, folded, ragged, split
 from .storage import row_key, written
 
-#: Words that may be broadcast: about 30 bytes each.
-FREQUENT = 300_000
+#: Words that may be broadcast: about 40 bytes each.
+FREQUENT = 1_200_000
 #: Distinct words that a task holds before it passes them on.
 HELD = 250_000
 _ENCODERS: dict[str, Encoder] = {}
@@ -84,15 +84,17 @@ def encoded(words: DataFrame, tokenizer: str) -> DataFrame:
 class Frequent:
     """The frequent words as sorted hashes with their ids in one pool."""
 
-    def __init__(self, rows: list):
-        from .codepoints import PrefixHash, codes
-
-        cp, starts = codes([r.word for r in rows])
-        h = PrefixHash(cp)(starts[:-1], starts[1:]) if rows else np.zeros(0, np.uint64)
+    def __init__(self, rows: pa.Table):
+        words = rows.column("word").to_pylist()
+        hashes = [np.zeros(0, np.uint64)]
+        for x, y in slices(words):
+            cp, starts = codes(words[x:y])
+            hashes.append(PrefixHash(cp)(starts[:-1], starts[1:]))
+        h = np.concatenate(hashes)
         order = np.argsort(h)
-        ids = [np.frombuffer(rows[i].ids, "<u4") for i in order.tolist()]
-        self.hashes, self.length = h[order], np.array([len(i) for i in ids], np.int64)
-        self.offset, self.pool = np.cumsum(self.length) - self.length, np.concatenate([np.zeros(0, np.uint32), *ids])
+        ids = rows.column("ids").take(pa.array(order)).to_pylist()
+        self.hashes, self.length = h[order], np.array([len(i) // 4 for i in ids], np.int64)
+        self.offset, self.pool = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(ids), "<u4")
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
@@ -102,21 +104,22 @@ class Frequent:
         return np.where(self.hashes[at] == h, at, -1)
 
 
-def frequent(words: DataFrame, limit: int = FREQUENT) -> list:
-    """The rows of words that occur at least 2**k times, with the least k for which there are no more than limit of them; k >= 1."""
+def frequent(words: DataFrame, limit: int = FREQUENT) -> int:
+    """The least power of two, 2 or more, for which no more than limit words occur at least so often."""
     steps = {r.k: r["count"] for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect()}
     total, least = 0, max(steps, default=0) + 1
     while least > 1 and total + steps.get(least - 1, 0) <= limit:
         least -= 1
         total += steps.get(least, 0)
-    return words.where(F.col("n") >= 1 << least).select("word", "ids").collect()
+    return 1 << least
 
 
 def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id and ids ARRAY<INT>; with digest instead: n_tokens, ids_sha256 and decoded_sha256, made where the ids are."""
     spark = docs.sparkSession
     words = written(encoded(counted(docs, tokenizer, text), tokenizer), "words")
-    known = spark.sparkContext.broadcast(Frequent(frequent(words)))
+    often = frequent(words)
+    known = spark.sparkContext.broadcast(Frequent(words.where(F.col("n") >= often).select("word", "ids").toArrow()))
     pieces = spark.sparkContext.broadcast(vocabulary(tokenizer)) if digest else None
     keyed = docs.select(F.col(doc_id).alias("_id"), row_key(text).alias("_h"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
@@ -134,10 +137,10 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     def packed(parts) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batches(batch.column("_text"))], pa.binary())], ["_id", "_h", "_packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array([zstandard.compress(t.encode("utf-8", "surrogatepass"), 3) for t in batches(batch.column("_text"))], pa.binary())], ["_id", "_h", "_packed"])
 
     spots = keyed.mapInArrow(rare, "_id long, _h long, pos int, word string")
-    back = spots.join(words.select("word", "ids"), "word").groupBy(F.col("_id").alias("_rid"), F.col("_h").alias("_rh")).agg(F.collect_set(F.struct("pos", "ids")).alias("_rare"))
+    back = spots.join(words.where(F.col("n") < often).select("word", "ids"), "word").groupBy(F.col("_id").alias("_rid"), F.col("_h").alias("_rh")).agg(F.collect_set(F.struct("pos", "ids")).alias("_rare"))
     texts = keyed.mapInArrow(packed, "_id long, _h long, _packed binary")
     # the texts stream past a hash table of the rare words: they are neither sorted nor held
     joined = texts.join(back.hint("shuffle_hash"), texts["_id"].eqNullSafe(back["_rid"]) & (texts["_h"] == back["_rh"]), "left").select("_id", "_packed", "_rare")
@@ -146,7 +149,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         enc, freq = encoder(tokenizer), known.value
         names = pieces.value if digest else None
         for batch in parts:
-            texts = [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column("_packed").to_pylist()]
+            texts = [zstandard.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column("_packed").to_pylist()]
             rare_of = batch.column("_rare")
             for x, y in slices(texts):
                 h, _, which, _, at, _, _, _ = _split(texts[x:y], enc)
