@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import bpe_words, crossparse, decontam, feistel, jump_shard, partenum, quality_qda, records, secret_scan
+from . import bpe_words, crossparse, decontam, feistel, jump_shard, multi_index, partenum, quality_qda, records, secret_scan
 
 
 def vocabulary(name: str, folder: str | None = None) -> str:
@@ -37,6 +37,11 @@ def op4_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.classes(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multi_index.links(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("_id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("_spans", lambda s: s["order"] < len(secret_scan.BASE))
@@ -66,5 +71,5 @@ def op10_crossparse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crossparse.fold(F.col("doc_id")) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_words, op2_winnow_decontam, op3_quality_qda, op4_partenum_jaccard, op6_secret_scan, op7_feistel_pii, op8_token_records, op9_jump_sharding, op10_crossparse_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe_words, op2_winnow_decontam, op3_quality_qda, op4_partenum_jaccard, op5_multi_index, op6_secret_scan, op7_feistel_pii, op8_token_records, op9_jump_sharding, op10_crossparse_language)}
 ORACLES: dict[str, str] = {}
