@@ -1,25 +1,6 @@
 """Every registered query of the engine with its DuckDB equivalent."""
 
-from pyspark.sql import functions as F, Window
+from . import block_queries, join_queries, report_queries, sequence_queries  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
 
-from ..tables import table
-
-QUERIES, ORACLES = {}, {}
-
-
-def query(oracle: str | None = None):
-    """Registers a function (spark, sf_dir) under its own name, beside the SQL that gives the same rows."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
-@query("""SELECT event_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share_pct FROM events GROUP BY event_type""")
-def mb_census(spark, sf_dir):
-    n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return n.select("event_type", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("share_pct"))
+__all__ = ["ORACLES", "QUERIES"]
