@@ -7,7 +7,7 @@ one are candidates. Parts without a shingle give no signature, and signatures of
 so many of those that it may have no other part in common with a similar one (n - k or more) is compared by its part counts with all
 sets of its kind, block by block. Nothing is capped: every similar pair in different components is a candidate.
 
-Equal sets are one node. Near copies that share least hashes with a common leader are linked first, so that large groups of them cost
+Equal sets are one node. Near copies that share least hashes with a common leader are linked first, in rounds, so that large groups of them cost
 one comparison each; only pairs of different components are looked at after that. Candidates are checked by counts
 per part of a sketch, a lower bound of the difference, and then exactly.
 
@@ -34,6 +34,10 @@ PERCENT = 75
 #: Sets in one bucket up to which all pairs are formed.
 FEW = 32
 LEADERS = 6
+#: Rounds of leaders before the signatures.
+TURNS = 3
+#: Pairs of one node that are verified together.
+TOGETHER = 200
 SKETCH = 128
 #: Shingle hashes have 52 bits, so that a text's number fits beside them.
 _BITS, _TEXTS = 52, 4095
@@ -167,23 +171,32 @@ class Join:
 
         held = written(self.texts(self.nodes.select("node", "rep").join(wanted, "node", "left_semi")).mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")
 
-        def same(parts):
-            for batch in parts:
-                keep = []
-                for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                    p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        each = lambda s, c: held.select(F.col("node").alias(s), F.col("set").alias(c))
-        return written(close.join(each("a", "x"), "a").join(each("b", "y"), "b").mapInArrow(same, "a long, b long"), "links")
-
-    def led(self) -> DataFrame:
-        """Pairs of a node with the least node of those that share one of its least hashes."""
-        keyed = self.nodes.select("node", F.explode("keys").alias("key"))
-        least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-        return keyed.join(least, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
+        # each pair moves one set: the pairs of a node meet its set, in groups of about TOGETHER
+        groups = close.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("m"))
+        asked = close.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("m")).alias("s"))
+        each = held.select(F.col("node").alias("b"), "set")
+        sides = asked.join(each, "b").unionByName(asked.select("a", "s", F.col("a").alias("b")).distinct().join(each, "b"))
+
+        def same(t: pa.Table) -> pa.Table:
+            a, b, sets = t.column("a").to_numpy(), t.column("b").to_numpy(), t.column("set").to_pylist()
+            own = np.frombuffer(sets[int(np.flatnonzero(a == b)[0])], "<u8")
+            keep = []
+            for i in np.flatnonzero(a != b).tolist():
+                other = np.frombuffer(sets[i], "<u8")
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * both >= PERCENT * (len(own) + len(other) - both):
+                    keep.append(i)
+            return pa.table({"a": a[keep], "b": b[keep]})
+
+        return written(sides.groupBy("a", "s").applyInArrow(same, "a long, b long"), "links")
+
+    def led(self, turn: int, roots: DataFrame | None) -> DataFrame:
+        """Pairs of a node with a leader of those that share one of its least hashes, if they are not in one component yet. Each turn has other leaders."""
+        nodes = self.nodes.select("node", F.explode("keys").alias("key"))
+        keyed = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+        first = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("a"), F.col("root").alias("other"))).alias("x"), F.count("*").alias("m")).where("m > 1")
+        leaders = written(first.select("key", "x.a", "x.other"), "leaders")
+        return keyed.join(leaders, "key").where("root != other").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
 
     def signed(self, roots: DataFrame) -> DataFrame:
         """kind 0: a pair (a, b) of nodes of different components that share a signature; kind 1: node a has c parts in the join of band b
@@ -334,8 +347,11 @@ class Join:
 
     def roots(self) -> DataFrame:
         """node, root: the component of each node that has links."""
-        first = self.verified(self.led())
-        led = components(first)
+        links, led = None, None
+        for turn in range(TURNS):
+            found = self.verified(self.led(turn, led))
+            links = found if links is None else links.unionByName(found)
+            led = components(links)
         signed = self.signed(led)
         pairs = signed.where("kind = 0").select("a", "b").unionByName(self.crowded(signed, led)).distinct()
         return components(led.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(self.verified(pairs)))
