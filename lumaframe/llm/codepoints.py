@@ -6,27 +6,46 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points handled at once; texts are never cut, a longer one is a slice of its own.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
-def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+class Texts:
+    """A string column whose rows become Python strings, null as empty, only when a run of them is asked for."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        self.column = column
+        self.lengths = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, at: slice) -> list[str]:
+        x, y, _ = at.indices(len(self))
+        return [t or "" for t in self.column.slice(x, y - x).to_pylist()]
+
+    def __iter__(self) -> Iterator[str]:
+        for x, y in slices(self):
+            yield from self[x:y]
+
+
+def slices(texts: "list[str] | Texts", limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of texts with at most limit code points together, or of one longer text."""
     at = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > limit:
+    for i, n in enumerate(texts.lengths.tolist() if isinstance(texts, Texts) else map(len, texts)):
+        if total and total + n > limit:
             yield at, i
             at, total = i, 0
-        total += len(t)
+        total += n
     if at < len(texts):
         yield at, len(texts)
 
 
-def batches(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """A string column as Python strings, null as empty."""
-    return [t or "" for t in column.to_pylist()]
+def batches(column: pa.Array | pa.ChunkedArray) -> Texts:
+    return Texts(column)
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

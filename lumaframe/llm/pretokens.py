@@ -6,6 +6,7 @@ bytes: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!
 """
 
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -65,19 +66,29 @@ class Encoder:
     """A tokenizer file, applied to single pieces."""
 
     def __init__(self, path: str):
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.pieces = Tokenizer.from_file(path)
+        self.path = path
+        self.pieces = self._load()
+        self.size = self.pieces.get_vocab_size()
+        self.added = [t.content for t in self.pieces.get_added_tokens_decoder().values()]
         self.pieces.normalizer = None
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+
+    def _load(self) -> Tokenizer:
+        t = Tokenizer.from_file(self.path)
+        t.no_truncation()
+        t.no_padding()
+        return t
+
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """With its normalizer; only texts with an added token need it."""
+        return self._load()
 
     def special(self, text: str) -> bool:
         """Texts with the string of an added token are encoded whole."""
         return any(t in text for t in self.added)
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.pieces.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+        return [e.ids for x in range(0, len(pieces), 2000) for e in self.pieces.encode_batch_fast(pieces[x : x + 2000], add_special_tokens=False)]
 
     def encode_whole(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids

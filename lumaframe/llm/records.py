@@ -32,7 +32,7 @@ from .storage import fresh_path
 
 END = 2
 #: Distinct pieces that a worker keeps encoded; beyond, it starts anew.
-CACHE = 600_000
+CACHE = 300_000
 
 
 def masked(data: bytes) -> int:
@@ -64,7 +64,7 @@ class Tokens:
 
     def __init__(self, tokenizer: str):
         self.encoder = Encoder(tokenizer)
-        self.width = 2 if self.encoder.whole.get_vocab_size() <= 1 << 16 else 4
+        self.width = 2 if self.encoder.size <= 1 << 16 else 4
         self.forget()
 
     def forget(self) -> None:
