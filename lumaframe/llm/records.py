@@ -31,8 +31,10 @@ from .pretokens import Encoder, distinct, ragged, split
 from .storage import fresh_path
 
 END = 2
-#: Distinct pieces that a worker keeps encoded; beyond, it starts anew.
-CACHE = 300_000
+#: Distinct pieces that a worker keeps encoded, about 40 bytes each; beyond, it starts anew.
+CACHE = 1_500_000
+#: Of those, the latest are kept in a dict and then merged into the sorted arrays.
+LATEST = 30_000
 
 
 def masked(data: bytes) -> int:
@@ -68,20 +70,39 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.slots, self.latest = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
         self.offset, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.pool, self.used, self.known = np.zeros(1 << 18, np.uint32), 0, 0
 
     def _add(self, hashes: list[int], pieces: list[str]) -> None:
         for h, ids in zip(hashes, self.encoder.encode(pieces)):
-            k = len(self.place)
-            if k == len(self.offset):
-                self.offset, self.length = np.resize(self.offset, 2 * k), np.resize(self.length, 2 * k)
+            if self.known == len(self.offset):
+                self.offset, self.length = np.resize(self.offset, 2 * self.known), np.resize(self.length, 2 * self.known)
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.resize(self.pool, 2 * len(self.pool))
             self.pool[self.used : self.used + len(ids)] = ids
-            self.place[h], self.offset[k], self.length[k] = k, self.used, len(ids)
-            self.used += len(ids)
+            self.latest[h], self.offset[self.known], self.length[self.known] = self.known, self.used, len(ids)
+            self.used, self.known = self.used + len(ids), self.known + 1
+
+    def _slots(self, h: np.ndarray, piece) -> np.ndarray:
+        """Where the ids of each hash are; piece(i) is the text of the i-th."""
+        if len(self.latest) > LATEST:
+            keys = np.concatenate([self.keys, np.fromiter(self.latest.keys(), np.uint64, len(self.latest))])
+            slots = np.concatenate([self.slots, np.fromiter(self.latest.values(), np.int64, len(self.latest))])
+            order = np.argsort(keys)
+            self.keys, self.slots, self.latest = keys[order], slots[order], {}
+        if self.known > CACHE:
+            self.forget()
+        slot = np.full(len(h), -1)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            slot = np.where(self.keys[at] == h, self.slots[at], -1)
+        rest = np.flatnonzero(slot < 0)
+        names = h[rest].tolist()
+        new = [(x, i) for x, i in zip(names, rest.tolist()) if x not in self.latest]
+        self._add([x for x, _ in new], [piece(i) for _, i in new])
+        slot[rest] = [self.latest[x] for x in names]
+        return slot
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -89,14 +110,8 @@ class Tokens:
         texts = ["" if i in whole else t for i, t in enumerate(texts)]
         cp, a, b, at = split(texts, words=False)
         h, first, which, _ = distinct(cp, a, b)
-        if len(self.place) > CACHE:
-            self.forget()
-        h = h.tolist()
-        new = [i for i, x in enumerate(h) if x not in self.place]
-        if new:
-            joined = "".join(texts)
-            self._add([h[i] for i in new], [joined[x:y] for x, y in zip(a[first[new]].tolist(), b[first[new]].tolist())])
-        slot = np.fromiter(map(self.place.__getitem__, h), np.int64, len(h))[which] if h else np.zeros(0, np.int64)
+        joined = "".join(texts)
+        slot = self._slots(h, lambda i: joined[a[first[i]] : b[first[i]]])[which] if len(h) else np.zeros(0, np.int64)
         length = self.length[slot]
         ids = ragged(self.pool, self.offset[slot], length)
         ends = np.zeros(len(length) + 1, np.int64)
