@@ -35,9 +35,10 @@ PERCENT = 75
 FEW = 32
 LEADERS = 6
 #: Rounds of leaders before the signatures.
-TURNS = 3
+TURNS = 2
 #: Pairs of one node that are verified together.
 TOGETHER = 200
+#: Parts of the sketch of a small set.
 SKETCH = 128
 #: Shingle hashes have 52 bits, so that a text's number fits beside them.
 _BITS, _TEXTS = 52, 4095
@@ -100,8 +101,18 @@ def _sums(values: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
+def bins(n: np.ndarray) -> np.ndarray:
+    """Parts of the sketch of a set of n shingles: a power of two with no more than four shingles a part, at least SKETCH. With fuller parts, sets of strangers look alike."""
+    return SKETCH << np.maximum(np.ceil(np.log2(np.maximum(n, 1) / (4 * SKETCH))), 0).astype(np.int64)
+
+
+def narrowed(sketch: np.ndarray, parts: int) -> np.ndarray:
+    """Sketches, one a row, with fewer parts."""
+    return np.minimum(sketch.reshape(len(sketch), -1, parts).sum(1, dtype=np.int32), 255)
+
+
 def digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_id, _h, n (set size), node (hash of the set; null for the empty one), keys (least hashes), sketch, of each row."""
+    """_id, _h, n (set size), node (hash of the set; null for the empty one), keys (least hashes), sketch, wide (a finer sketch of large sets, else empty), of each row."""
     keyed = docs.select(F.col(doc_id).alias("_id"), row_key(text).alias("_h"), F.col(text).alias("_text"))
 
     def run(parts):
@@ -118,13 +129,16 @@ def digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 for i, s in enumerate(salts):
                     if full.any():
                         keys[full, i] = mixed(np.minimum.reduceat(mixed(h ^ s), at[:-1][full]) + np.uint64(i))
-                sketch = np.minimum(np.bincount(owner * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), minlength=(y - x) * SKETCH), 255).astype(np.uint8).reshape(y - x, SKETCH)
+                wide = bins(n)
+                base = np.cumsum(wide) - wide
+                sketch = np.minimum(np.bincount(base[owner] + (h % wide[owner].astype(np.uint64)).astype(np.int64), minlength=int(wide.sum())), 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("_id").slice(x, y - x), batch.column("_h").slice(x, y - x), pa.array(n.astype(np.int64)), pa.array(node, mask=~full),
-                    pa.ListArray.from_arrays(pa.array(np.arange(y - x + 1, dtype=np.int32) * LEADERS), pa.array(keys.view(np.int64).reshape(-1))), pa.array([s.tobytes() for s in sketch], pa.binary()),
-                ], ["_id", "_h", "n", "node", "keys", "sketch"])
+                    pa.ListArray.from_arrays(pa.array(np.arange(y - x + 1, dtype=np.int32) * LEADERS), pa.array(keys.view(np.int64).reshape(-1))), pa.array([narrowed(sketch[i : i + w][None], SKETCH).astype(np.uint8).tobytes() for i, w in zip(base.tolist(), wide.tolist())], pa.binary()),
+                    pa.array([sketch[i : i + w].tobytes() if w > SKETCH else b"" for i, w in zip(base.tolist(), wide.tolist())], pa.binary()),
+                ], ["_id", "_h", "n", "node", "keys", "sketch", "wide"])
 
-    return keyed.mapInArrow(run, "_id long, _h long, n long, node long, keys array<long>, sketch binary")
+    return keyed.mapInArrow(run, "_id long, _h long, n long, node long, keys array<long>, sketch binary, wide binary")
 
 
 class Join:
@@ -134,7 +148,7 @@ class Join:
         self.docs, self.doc_id, self.text, self.spark = docs, doc_id, text, docs.sparkSession
         self.rows = written(digests(docs, doc_id, text), "digests")
         full = self.rows.where("node is not null")
-        self.nodes = written(full.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+        self.nodes = written(full.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "nodes")
         self.packed: DataFrame | None = None
 
     def texts(self, nodes: DataFrame) -> DataFrame:
@@ -151,15 +165,26 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that are similar."""
-        side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+        side = lambda s, c: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col(c).alias(f"s{s}"))
 
         def near(parts):
             for batch in parts:
-                na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array(7 * np.abs(sa - sb).sum(1) <= na + nb))
-
-        close = written(pairs.join(side("a"), "a").join(side("b"), "b").where("7 * abs(na - nb) <= na + nb").mapInArrow(near, "a long, b long"), "close")
+                for x in range(0, batch.num_rows, 4000):
+                    some = batch.slice(x, 4000)
+                    na, nb = (some.column(c).to_numpy() for c in ("na", "nb"))
+                    sa, sb = (some.column(c).to_pylist() for c in ("sa", "sb"))
+                    la, lb = (np.array([len(v) for v in side]) for side in (sa, sb))
+                    keep = np.ones(some.num_rows, bool)
+                    for p, q in set(zip(la.tolist(), lb.tolist())):
+                        if min(p, q):  # else one set is too small for a finer sketch
+                            i, w = np.flatnonzero((la == p) & (lb == q)), min(p, q)
+                            u, v = (narrowed(np.frombuffer(b"".join([side[j] for j in i.tolist()]), np.uint8).reshape(len(i), -1), w) for side in (sa, sb))
+                            keep[i] = 7 * np.abs(u - v).sum(1) <= na[i] + nb[i]
+                    yield some.select(["a", "b"]).filter(pa.array(keep))
+
+        close = pairs
+        for column in ("sketch", "wide"):  # what the first leaves is little enough for the second, which is as long as an eighth of the set
+            close = written(close.join(side("a", column), "a").join(side("b", column), "b").where("7 * abs(na - nb) <= na + nb").mapInArrow(near, "a long, b long"), "close")
         wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
 
         def sets(parts):
@@ -330,7 +355,7 @@ class Join:
 
         def pairs(t: pa.Table) -> pa.Table:
             node, root, n, own, lo = (t.column(c).to_numpy() for c in ("node", "root", "n", "own", "lo"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+            sketch = np.stack([narrowed(np.frombuffer(v, np.uint8)[None], SKETCH)[0] for v in t.column("sketch").to_pylist()])
             same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
             left = np.flatnonzero(own == lo)
             right = left if same else np.flatnonzero(own != lo)
