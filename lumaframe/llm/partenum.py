@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .codepoints import PrefixHash, batches, codes, mixed, slices
 from .components import components
-from .storage import row_key, written
+from .storage import discard, row_key, written
 
 N = 5
 #: Similar: 100 * |both| >= PERCENT * |either|. The difference is then at most (|a| + |b|) / 7.
@@ -184,7 +184,10 @@ class Join:
 
         close = pairs
         for column in ("sketch", "wide"):  # what the first leaves is little enough for the second, which is as long as an eighth of the set
+            before = close
             close = written(close.join(side("a", column), "a").join(side("b", column), "b").where("7 * abs(na - nb) <= na + nb").mapInArrow(near, "a long, b long"), "close")
+            if column == "wide":
+                discard(before)
         wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
 
         def sets(parts):
@@ -213,7 +216,9 @@ class Join:
                     keep.append(i)
             return pa.table({"a": a[keep], "b": b[keep]})
 
-        return written(sides.groupBy("a", "s").applyInArrow(same, "a long, b long"), "links")
+        links = written(sides.groupBy("a", "s").applyInArrow(same, "a long, b long"), "links")
+        discard(close, held)
+        return links
 
     def led(self, turn: int, roots: DataFrame | None) -> DataFrame:
         """Pairs of a node with a leader of those that share one of its least hashes, if they are not in one component yet. Each turn has other leaders."""

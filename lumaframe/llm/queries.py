@@ -75,7 +75,30 @@ QUERIES = {f.__name__: f for f in (op1_bpe_words, op2_winnow_decontam, op3_quali
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _parts(order: int, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    fit = " AND ".join([f"length(h[i]) >= {least}", *(f"regexp_matches(h[i], '{m}')" for m in secret_scan.MIXED if pattern == secret_scan.KEY)])
+    return f"""SELECT doc_id, {order} AS k, e - length(f[i]) AS s, e FROM (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(f[1:i], lambda x: length(x))) AS BIGINT) AS e
+    FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}') AS f, regexp_extract_all(text, '{quoted}', {group}) AS h, regexp_split_to_array(text, '{quoted}') AS g FROM t WHERE regexp_matches(text, '{quoted}')), unnest(range(1, len(f) + 1)) u(i)) WHERE {fit}"""
+
+
+_ROLE = "CASE k " + " ".join(f"WHEN {i} THEN '{k[4]}'" for i, k in enumerate(secret_scan.KINDS)) + " END"
+_SPELLED = "concat(CASE k " + " ".join(f"WHEN {i} THEN '{k[0]}'" for i, k in enumerate(secret_scan.KINDS)) + " END, ':', s, ':', e)"
+
 ORACLES: dict[str, str] = {
+    "op6_secret_scan": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS ({" UNION ALL ".join(_parts(i, k[1], k[2], k[3]) for i, k in enumerate(secret_scan.KINDS))}),
+r AS (SELECT *, {_ROLE} AS role FROM p),
+n AS (SELECT *, max(role = 'id') OVER near AS i, max(role = 'secret') OVER near AS x, max(role = 'endpoint') OVER near AS z,
+    max(CASE WHEN k < 3 THEN e END) OVER (PARTITION BY doc_id ORDER BY s, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_end,
+    min(CASE WHEN k < 3 THEN s END) OVER (PARTITION BY doc_id ORDER BY s, k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS base_start
+    FROM r WINDOW near AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN 400 PRECEDING AND 400 FOLLOWING)),
+l AS (SELECT * FROM n WHERE k < 3 OR (coalesce(base_end, 0) <= s AND (base_start IS NULL OR base_start >= e) AND CASE role WHEN 'id' THEN x WHEN 'secret' THEN i ELSE i AND x END)),
+a AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+    string_agg({_SPELLED}, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg({_SPELLED}, ',' ORDER BY s, k) AS spans FROM l GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (doc_id)""",
     "op2_winnow_decontam": f"""
 WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark),
 wi AS (SELECT item, least(len(w), 13) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS win FROM b WHERE len(w) > 0),

@@ -11,6 +11,8 @@ Edge cases: a null text is an empty one; a null id is an id of its own; rows equ
 rows of one id with different texts are kept apart; an empty table gives an empty result; other columns pass through.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Weak kinds. ident: a named account; key: a long mixed token; endpoint: a URL, or an IPv4 address with an optional port.
 IDENT = r"""((?i:user(?:name)?|login|client_?id|account))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})"""
-KEY = r"(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+KEY = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: What a key must hold beside.
+MIXED = ("[0-9]", "[A-Z]", "[a-z]")
 ENDPOINT = r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?"
 #: (kind, pattern, group whose length counts, least length, role)
 KINDS = (
@@ -40,11 +44,12 @@ ANY_BASE = r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:
 
 def _cut(text: Column, order: int, pattern: str, group: int, least: int) -> Column:
     """The matches of one kind as an array of (order, n, before, length, ok); before: characters between a match and the one before."""
+    fit = lambda h: reduce(lambda a, b: a & b, [F.length(h) >= least, *(h.rlike(m) for m in MIXED if pattern == KEY)])
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     return F.zip_with(
         F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("before"), F.length(m).alias("len"))), held,
-        lambda x, h: F.struct(F.lit(order).alias("order"), x["before"].alias("before"), x["len"].alias("len"), (F.length(h) >= least).alias("ok")),
+        lambda x, h: F.struct(F.lit(order).alias("order"), x["before"].alias("before"), x["len"].alias("len"), fit(h).alias("ok")),
     )
 
 
