@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .codepoints import PrefixHash, batches, codes, slices
+from .codepoints import PrefixHash, batches, codes, release, slices
 from .pretokens import Encoder, distinct, folded, ragged, split
 from .storage import row_key, written
 
@@ -64,6 +64,8 @@ def counted(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
                     yield out()
                     held.clear()
         yield out()
+        held.clear()
+        release()
 
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -134,6 +136,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 rows = pa.array(owner + x)
                 found = [joined[s:e] for s, e in zip(a[place].tolist(), b[place].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("_id").take(rows), batch.column("_h").take(rows), pa.array((place - at[owner]).astype(np.int32)), pa.array(found, pa.string())], ["_id", "_h", "pos", "word"])
+        release()
 
     def packed(parts) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -180,6 +183,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                         [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     yield pa.RecordBatch.from_arrays([id_column, pa.array([v.astype(np.int32) for v in own], pa.list_(pa.int32()))], [doc_id, "ids"])
+        release()
 
     return joined.mapInArrow(run, f"{doc_id} long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"{doc_id} long, ids array<int>")
 

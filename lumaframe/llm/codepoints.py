@@ -1,5 +1,6 @@
 """Whole batches of texts as code-point arrays, for the operators that work in numpy."""
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,6 +14,14 @@ SLICE_CHARS = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
+def release() -> None:
+    """Hands freed memory back to the system, so that a worker that lives for many tasks stays as large as one task needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Texts:
     """A string column whose rows become Python strings, null as empty, only when a run of them is asked for."""
 

@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codepoints import PrefixHash, batches, codes, mixed, slices
+from .codepoints import PrefixHash, batches, codes, mixed, release, slices
 from .components import components
 from .storage import discard, row_key, written
 
@@ -294,6 +294,7 @@ class Join:
                         size = 0
             if held:
                 yield flush()
+            release()
 
         def pairs(t: pa.Table) -> pa.Table:
             blobs = t.column("blob").to_pylist()

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .codepoints import batches, slices
+from .codepoints import batches, release, slices
 from .pretokens import Encoder, distinct, ragged, split
 from .storage import fresh_path
 
@@ -120,6 +120,16 @@ class Tokens:
         return [whole.get(i, ids[cut[i] : cut[i + 1]]) for i in range(len(texts))]
 
 
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """One for each worker process and file, with what it has encoded so far."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
 def write(docs: DataFrame, tokenizer: str, path: str | None = None, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> str:
     """Encodes docs, adds END to each, writes part files in ascending id order, and returns their folder.
 
@@ -137,7 +147,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, parts: int |
             ids, texts = batch.column("_id").to_pylist(), batches(batch.column("_text"))
             for x, y in slices(texts):
                 if tokens is None:
-                    tokens = Tokens(tokenizer)
+                    tokens = tokens_of(tokenizer)
                     store, folder = pafs.FileSystem.from_uri(path)
                     store.create_dir(folder, recursive=True)
                     name = f"{folder}/part-{TaskContext.get().partitionId():05d}"
@@ -149,6 +159,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, parts: int |
                     out.write(record)
                     starts.append(written)
                     written, total = written + len(record), total + len(t)
+        release()
         if out is not None:
             out.close()
             with store.open_output_stream(trial + ".idx") as index:
