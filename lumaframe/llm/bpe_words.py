@@ -52,7 +52,11 @@ def counted(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
     def run(parts) -> Iterator[pa.RecordBatch]:
         enc, held = encoder(tokenizer), {}
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+
+        def out() -> pa.RecordBatch:  # in order, as neighbours with a common beginning compress better
+            words = sorted(held)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
+
         for batch in parts:
             texts = batches(batch.column(0))
             for x, y in slices(texts):
@@ -116,6 +120,19 @@ def frequent(words: DataFrame, limit: int = FREQUENT) -> int:
     return 1 << least
 
 
+def compression(docs: DataFrame, text: str, samples: int = 2000, chars: int = 4000) -> bytes:
+    """A dictionary for compressing single texts while they are moved, from the beginnings of about `samples` of them; empty if they are too few to learn from."""
+    share = min(1.0, 1.5 * samples / max(1, docs.count()))
+    some = docs.where((F.pmod(F.xxhash64(text), F.lit(1 << 30)) / (1 << 30)) < share).select(F.substring(text, 1, chars).alias("t")).limit(samples).collect()
+    texts = [r.t.encode("utf-8", "surrogatepass") for r in some if r.t]
+    if len(texts) < 200:
+        return b""
+    try:
+        return zstandard.train_dictionary(100_000, texts).as_bytes()
+    except zstandard.ZstdError:  # texts without anything in common
+        return b""
+
+
 def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id and ids ARRAY<INT>; with digest instead: n_tokens, ids_sha256 and decoded_sha256, made where the ids are."""
     spark = docs.sparkSession
@@ -138,9 +155,12 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([batch.column("_id").take(rows), batch.column("_h").take(rows), pa.array((place - at[owner]).astype(np.int32)), pa.array(found, pa.string())], ["_id", "_h", "pos", "word"])
         release()
 
+    learnt = compression(docs, text)
+
     def packed(parts) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(learnt) if learnt else None)
         for batch in parts:
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array([zstandard.compress(t.encode("utf-8", "surrogatepass"), 3) for t in batches(batch.column("_text"))], pa.binary())], ["_id", "_h", "_packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array([pack.compress(t.encode("utf-8", "surrogatepass")) for t in batches(batch.column("_text"))], pa.binary())], ["_id", "_h", "_packed"])
 
     spots = keyed.mapInArrow(rare, "_id long, _h long, pos int, word string")
     back = spots.join(words.where(F.col("n") < often).select("word", "ids"), "word").groupBy(F.col("_id").alias("_rid"), F.col("_h").alias("_rh")).agg(F.collect_set(F.struct("pos", "ids")).alias("_rare"))
@@ -151,8 +171,9 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     def run(parts) -> Iterator[pa.RecordBatch]:
         enc, freq = encoder(tokenizer), known.value
         names = pieces.value if digest else None
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(learnt) if learnt else None)
         for batch in parts:
-            texts = [zstandard.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column("_packed").to_pylist()]
+            texts = [unpack.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column("_packed").to_pylist()]
             rare_of = batch.column("_rare")
             for x, y in slices(texts):
                 h, _, which, _, at, _, _, _ = _split(texts[x:y], enc)
