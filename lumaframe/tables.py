@@ -1,8 +1,25 @@
 """Reading the driver's tables."""
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a context, so that Arrow functions find it whatever their path is."""
+    context = spark.sparkContext
+    if not getattr(context, "_lumaframe_shipped", False):
+        context._lumaframe_shipped = True
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="lumaframe-")
+        shutil.copytree(root, f"{folder}/all/lumaframe", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/lumaframe", "zip", f"{folder}/all"))
+        shutil.rmtree(f"{folder}/all")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a scale-factor folder; only Spark's reader opens it, so any store works."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
