@@ -389,18 +389,18 @@ class Join:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, _h, n_shingles, component_id for every row of docs."""
+    """_id, _h, n_shingles, component_id, root for every row of docs. The root tells components of one name apart; it is null for the empty set."""
     join = Join(docs, doc_id, text)
     rows = join.rows.join(join.roots(), "node", "left").select("_id", "_h", "n", F.coalesce("root", "node").alias("root"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("_id").alias("component_id"))
-    return rows.join(least, "root", "left").select("_id", "_h", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(least, "root", "left").select("_id", "_h", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: the least id, and of its rows the one with the least hash of the text. Documents with an empty set stay,
     and of rows equal in id and text one."""
     found = classes(docs, doc_id, text)
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_h")).alias("first")).select(F.col("first._id").alias("_kid"), F.col("first._h").alias("_kh"))
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_h")).alias("first")).select(F.col("first._id").alias("_kid"), F.col("first._h").alias("_kh"))
     alone = found.where("n_shingles = 0").select(F.col("_id").alias("_kid"), F.col("_h").alias("_kh")).distinct()
     keep = written(first.unionByName(alone), "kept")
     keyed = docs.withColumn("_h", row_key(text))

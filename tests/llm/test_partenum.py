@@ -85,6 +85,16 @@ def test_empty(spark):
     assert partenum.classes(docs.limit(0)).count() == 0
 
 
+def test_components_of_one_name_are_kept_apart(spark):
+    """Unrelated texts without an id, or of one id, are components of their own; a copy without an id goes."""
+    rows = [(None, "one two three four five six"), (None, "red green blue grey black white"), (None, "lone"), (4, "sun moon star sky rain snow"), (4, "iron lead tin zinc gold silver"), (None, "Sun moon star sky rain snow"), (None, "one two three  four five six")]
+    kept = sorted((r.doc_id or 0, " ".join(r.text.split())) for r in partenum.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted((k or 0, t) for k, t in rows[:5])
+    rows = [*corpus(1), (7, "a b c d e f g"), (503, "A b c d e f g")]  # row 7 of the corpus has another text
+    apart = brute([(i, t) for i, (_, t) in enumerate(rows)])
+    assert partenum.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == len({x[3] for x in apart})
+
+
 def test_bands_hold_all_similar_sizes():
     table = partenum.bands(5000)
     of = lambda n: next(i for i, (a, b) in enumerate(table) if a <= n <= b)
