@@ -32,7 +32,7 @@ def secrets(spark, docs, sf_dir):
 
 def encoding(spark, docs, sf_dir):
     """doc_id and token ids of every document, with their number and digests."""
-    return bpe_words.encode(docs, vocabulary("word_bpe_49k.json"), digest=True)
+    return bpe_words.digested(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("encoding", encoding)]

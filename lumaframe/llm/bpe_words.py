@@ -12,13 +12,13 @@ rows equal in id and text share their result, and each is returned; null ids are
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -133,13 +133,12 @@ def compression(docs: DataFrame, text: str, samples: int = 2000, chars: int = 40
         return b""
 
 
-def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id and ids ARRAY<INT>; with digest instead: n_tokens, ids_sha256 and decoded_sha256, made where the ids are."""
+def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", then: tuple[Callable, str] | None = None) -> DataFrame:
+    """doc_id and ids ARRAY<INT>; with `then`, what its function makes of the batches of them, in the same workers, and the schema of that."""
     spark = docs.sparkSession
     words = written(encoded(counted(docs, tokenizer, text), tokenizer), "words")
     often = frequent(words)
     known = spark.sparkContext.broadcast(Frequent(words.where(F.col("n") >= often).select("word", "ids").toArrow()))
-    pieces = spark.sparkContext.broadcast(vocabulary(tokenizer)) if digest else None
     keyed = docs.select(F.col(doc_id).alias("_id"), row_key(text).alias("_h"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def rare(parts) -> Iterator[pa.RecordBatch]:
@@ -170,7 +169,6 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     def run(parts) -> Iterator[pa.RecordBatch]:
         enc, freq = encoder(tokenizer), known.value
-        names = pieces.value if digest else None
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(learnt) if learnt else None)
         for batch in parts:
             texts = [unpack.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column("_packed").to_pylist()]
@@ -197,16 +195,13 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 cut = ends[at]
                 own = [np.array(enc.encode_whole(t), np.uint32) if enc.special(t) else ids[cut[i] : cut[i + 1]] for i, t in enumerate(texts[x:y])]
                 id_column = batch.column("_id").slice(x, y - x)
-                if digest:
-                    plain = [" ".join([names[k] for k in v.tolist()]) for v in own]
-                    yield pa.RecordBatch.from_arrays(
-                        [id_column, pa.array([len(v) for v in own], pa.int64()), pa.array([hashlib.sha256(v.astype("<u4").tobytes()).hexdigest() for v in own]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in plain])],
-                        [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([id_column, pa.array([v.astype(np.int32) for v in own], pa.list_(pa.int32()))], [doc_id, "ids"])
+                yield pa.RecordBatch.from_arrays([id_column, pa.array([v.astype(np.int32) for v in own], pa.list_(pa.int32()))], [doc_id, "ids"])
         release()
 
-    return joined.mapInArrow(run, f"{doc_id} long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"{doc_id} long, ids array<int>")
+    if then:
+        step, schema = then
+        return joined.mapInArrow(lambda parts: step(run(parts)), schema)
+    return joined.mapInArrow(run, f"{doc_id} long, ids array<int>")
 
 
 def vocabulary(tokenizer: str) -> list[str]:
@@ -215,15 +210,42 @@ def vocabulary(tokenizer: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
 
 
-def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
-    """tokens with the column decoded: the pieces of the ids, joined by blanks as the vocabulary's file (it names no decoder) asks. Null ids give null; ids outside the vocabulary are left out."""
-    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
-    schema = tokens.select("*", F.lit("").cast("string").alias("decoded")).schema
+def decoder(spark: SparkSession, tokenizer: str, ids: str = "ids") -> Callable:
+    """A function that adds the column decoded to batches with ids."""
+    shared = spark.sparkContext.broadcast(vocabulary(tokenizer))
 
     def run(parts) -> Iterator[pa.RecordBatch]:
         names = shared.value
         for batch in parts:
-            out = [None if v is None else " ".join([names[k] for k in v if k is not None and 0 <= k < len(names)]) for v in batch.column(ids).to_pylist()]
+            column = batch.column(ids)
+            k, at, empty = column.values.fill_null(-1).to_numpy(), column.offsets.to_numpy(), column.is_null().to_pylist()
+            out = []
+            for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                own = k[s:e]
+                out.append(None if empty[i] else " ".join([names[x] for x in own[(own >= 0) & (own < len(names))].tolist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
-    return tokens.mapInArrow(run, schema)
+    return run
+
+
+def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
+    """tokens with the column decoded: the pieces of the ids, joined by blanks as the vocabulary's file (it names no decoder) asks. Null ids give null; ids outside the vocabulary are left out."""
+    return tokens.mapInArrow(decoder(tokens.sparkSession, tokenizer, ids), tokens.select("*", F.lit(None).cast("string").alias("decoded")).schema)
+
+
+def digests(parts) -> Iterator[pa.RecordBatch]:
+    """Batches of encode() and decode() with n_tokens, ids_sha256 (of little-endian 32-bit integers) and decoded_sha256 instead of decoded."""
+    for batch in parts:
+        ids, texts = batch.column("ids"), batch.column("decoded").to_pylist()
+        k, at = ids.values.to_numpy().astype("<i4", copy=False), ids.offsets.to_numpy()
+        made = [hashlib.sha256(k[s:e].tobytes()).hexdigest() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+        kept = [c for c in batch.schema.names if c != "decoded"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), pa.array(np.diff(at).astype(np.int64)), pa.array(made, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())],
+            [*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digested(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256: encode(), decode() and the digests of what they return. One pass, since the workers of several do not fit into an executor side by side."""
+    decoded = decoder(docs.sparkSession, tokenizer)
+    return encode(docs, tokenizer, doc_id, text, (lambda parts: digests(decoded(parts)), f"{doc_id} long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -17,7 +17,7 @@ def vocabulary(name: str, folder: str | None = None) -> str:
 
 
 def op1_bpe_words(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
-    return bpe_words.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json", tokenizers), digest=True)
+    return bpe_words.digested(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json", tokenizers)).drop("ids")
 
 
 def op2_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,16 @@ def test_edges_with_and_without_frequent_words(spark, monkeypatch):
         want = sorted((-1 if i is None else i, e.ids, t.decode(e.ids, skip_special_tokens=False)) for i, s, _ in data for e in [t.encode(s or "", add_special_tokens=False)])
         assert sorted((-1 if r.doc_id is None else r.doc_id, list(r.ids), r.decoded) for r in out) == want
     assert bpe_words.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_digests_are_of_what_encode_and_decode_return(spark):
+    docs = spark.createDataFrame([(1, "It's the wörds <|endoftext|>"), (None, "no id"), (3, None)], "doc_id long, text string")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {r.doc_id: (list(r.ids), len(r.ids), sha(np.array(r.ids, "<u4").tobytes()), sha(r.decoded.encode())) for r in bpe_words.decode(bpe_words.encode(docs, PATH), PATH).collect()}
+    assert {r.doc_id: (list(r.ids), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_words.digested(docs, PATH).collect()} == want
+
+
+def test_decode_of_null_and_foreign_ids(spark):
+    t = Tokenizer.from_file(PATH)
+    tokens = spark.createDataFrame([(1, None), (2, []), (3, [5, None, -1, 10**6, 7])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in bpe_words.decode(tokens, PATH).collect()} == {1: None, 2: "", 3: f"{t.id_to_token(5)} {t.id_to_token(7)}"}

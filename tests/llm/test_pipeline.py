@@ -53,3 +53,11 @@ def test_run_on_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoding_returns_the_ids(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.createDataFrame([(1, "It's the words of it", "en"), (None, "no id", "en"), (3, None, "en")], "doc_id long, text string, lang string")
+    rows = corpus_pipeline.encoding(spark, docs, SF).collect()
+    assert {r.doc_id: list(r.ids) for r in rows} == {k: t.encode(s or "", add_special_tokens=False).ids for k, s, _ in docs.collect()}
+    assert all(r.n_tokens == len(r.ids) for r in rows)
