@@ -6,6 +6,7 @@ the same validation, and the holder of the key can undo them. Texts keep their l
 
 Edge cases: null texts stay null; empty texts and texts without a value stay as they are; rows are handled one by one, so repeated rows,
 null ids and other columns do no harm; numbers of 13 to 19 digits that fail the card checksum are permuted as plain digits.
+A match that is not valid as its kind is tried with shorter ends, then as the other kinds, and the search goes on one character later.
 """
 
 import calendar
@@ -35,6 +36,16 @@ VALUE = re.compile(
     r"|(?P<card>(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9]))"
 )
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
+#: The pattern of each kind alone, with a group of its name.
+ALONE = dict(zip(KINDS, map(re.compile, re.split(r"\|(?=\(\?P<)", VALUE.pattern))))
+#: Length of an IBAN by country (ISO 13616).
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 "
+    "IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 "
+    "SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
+#: Digits in the groups that card numbers are written in, beside a single group.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3))
 
 
 class Permutation:
@@ -71,6 +82,59 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def is_card(text: str) -> bool:
+    digits = re.sub("[ -]", "", text)
+    return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1])
+
+
+def _groups(text: str, s: int) -> list[tuple[int, int]]:
+    """The groups of digits from s on with one blank or hyphen between them, to 40 digits: any number from a place in the first 19 ends within these."""
+    out, total = [], 0
+    while total < 40 and (m := re.compile("[0-9]+").match(text, s)):
+        out.append(m.span())
+        total += m.end() - s
+        s = m.end() + 1
+        if text[m.end() : s] not in (" ", "-"):
+            break
+    return out
+
+
+def _card_ends(text: str, s: int, e: int) -> tuple[int, int]:
+    """The part of the number at s to e, or of the digits behind it, that is to be replaced first. A card number written as one is ranks over longer numbers around
+    it; then come the longest beginning that passes the checksum and the whole number."""
+    groups = _groups(text, s)
+    for i, (a, _) in enumerate(groups):
+        if a >= e:
+            break
+        for n in (5, 4, 3, 1):
+            part = groups[i : i + n]
+            if len(part) == n and (n == 1 or tuple(y - x for x, y in part) in CARD_GROUPS) and is_card(text[a : part[-1][1]]):
+                if a == s:
+                    return s, part[-1][1]
+                before = ALONE["card"].match(text, s, a)
+                if not before:
+                    return a, part[-1][1]
+                e = before.end()
+                break
+    return s, next((y for _, y in reversed(groups) if y <= e and is_card(text[s:y])), e)
+
+
+def spans(text: str, m: re.Match):
+    """kind, start and end of what a match of VALUE may be, the likeliest first."""
+    s = m.start()
+    for kind in KINDS[KINDS.index(m.lastgroup) :]:
+        one = m if kind == m.lastgroup else ALONE[kind].match(text, s)
+        if not one:
+            continue
+        if kind == "iban":
+            ends = [i for i in range(one.end(), s, -1) if text[i - 1] != " " and not text[i : i + 1].isalnum() and i - s - text.count(" ", s, i) >= 15]
+            yield from ((kind, s, e) for e in sorted(ends, key=lambda e: e - s - text.count(" ", s, e) != IBAN_LENGTH.get(text[s : s + 2])))
+        elif kind == "card":
+            yield kind, *_card_ends(text, s, one.end())
+        else:
+            yield kind, s, one.end()
+
+
 def iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
@@ -151,13 +215,14 @@ def pseudonym(kind: str, text: str, p: Permutation, back: bool = False) -> str |
     if luhn(digits[:-1]) == int(digits[-1]):
         body = f"{p(int(digits[:-1]), 10**size, b'card%d' % size, back):0{size}d}"
         return _fill(text, body + str(luhn(body)))
-    # not a card number: the pseudonym is none either, by walking on
+    # not a card number: the pseudonym is none either and begins with none, by walking on
     n = int(digits)
     while True:
         n = p(n, 10 ** len(digits), b"number%d" % len(digits), back)
         out = f"{n:0{len(digits)}d}"
-        if luhn(out[:-1]) != int(out[-1]):
-            return _fill(text, out)
+        new = _fill(text, out)
+        if luhn(out[:-1]) != int(out[-1]) and _card_ends(new, 0, len(new)) == (0, len(new)):
+            return new
 
 
 def replaced(text: str, p: Permutation, back: bool = False) -> tuple[str, dict[str, int]]:
@@ -167,14 +232,17 @@ def replaced(text: str, p: Permutation, back: bool = False) -> tuple[str, dict[s
     def cached(kind: str, value: str) -> str | None:
         return pseudonym(kind, value, p, back)
 
-    def swap(m: re.Match) -> str:
-        new = cached(m.lastgroup, m[0])
-        if new is None:
-            return m[0]
-        counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
-        return new
-
-    return VALUE.sub(swap, text), counts
+    out, at, pos = [], 0, 0
+    while m := VALUE.search(text, pos):
+        pos = m.start() + 1
+        for kind, s, e in spans(text, m):
+            new = cached(kind, text[s:e])
+            if new is not None:
+                counts[kind] = counts.get(kind, 0) + 1
+                out += [text[at:s], new]
+                at = pos = e
+                break
+    return "".join([*out, text[at:]]), counts
 
 
 def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, text: str = "text", back: bool = False) -> DataFrame:

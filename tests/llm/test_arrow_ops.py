@@ -94,6 +94,29 @@ def test_pseudonyms_link_and_leave_the_rest(spark, texts):
     assert restored.text == one
 
 
+def test_values_are_found_beside_other_words_and_numbers():
+    p = feistel.Permutation(b"k")
+    iban, card = "DE89370400440532013000", "4111111111111111"
+    new = {v: feistel.pseudonym(k, v, p) for k, v in (("iban", iban), ("iban", "DE89 3704 0044 0532 0130 00"), ("card", card), ("card", "4111 1111 1111 1111"), ("date", "12/27/2024"))}
+    for text, values in (
+        (f"{iban} 2 times", [iban]), ("DE89 3704 0044 0532 0130 00 USD 500", ["DE89 3704 0044 0532 0130 00"]), ("PO12 4111 1111 1111 1111", ["4111 1111 1111 1111"]), (f"AB12 {iban}", [iban]),
+        (f"{card} 12/27", [card]), (f"12 {card} 99", [card]), (f"{card} 12/27/2024", [card, "12/27/2024"]), ("55 4111 1111 1111 1111 22", ["4111 1111 1111 1111"]), (f"{card} {card}", [card, card]),
+    ):
+        want, at = text, 0
+        for v in values:
+            i = want.index(v, at)
+            want, at = want[:i] + new[v] + want[i + len(v) :], i + len(v)
+        got, counts = feistel.replaced(text, p)
+        assert got == want and sum(counts.values()) == len(values), text
+        assert feistel.replaced(got, p, back=True)[0] == text, text
+    text = f"1234567890123 {card}"  # a number and a card
+    got, counts = feistel.replaced(text, p)
+    assert got.endswith(" " + new[card]) and got[:13] != text[:13] and counts == {"card": 2} and feistel.replaced(got, p, back=True)[0] == text
+    for text in ("1234567890123 45 67", "12 34 56 78 90 12 34 56 71"):
+        got, _ = feistel.replaced(text, p)
+        assert got != text and feistel.replaced(got, p, back=True)[0] == text
+
+
 def auc(score, label):
     order = np.argsort(score)
     rank = np.empty(len(score))
