@@ -28,19 +28,27 @@ def bucket_stream(units: DataFrame, by: str, order: str, bits: str, size: int, r
 
 
 def cut_stream(frames: DataFrame, by: str, order: str, ratio: str) -> DataFrame:
-    """key, at, cut: each frame's decision comes one frame late, as the frame after may clear it as a flash; held are the last three ratios and the frame that waits."""
+    """key, at, cut: each frame's decision comes one frame late, as the frame after may clear it as a flash; held are the last three ratios and the frame that waits.
+    A row without a ratio, behind the last frame, ends a stream: it gives out the frame that waits and forgets the state."""
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, wait_at, wait_cut = state.get if state.exists else ([], -1, False)
         held, rows = list(held), []
         pdf = pd.concat(list(parts)).sort_values(order)
         for at, r in zip(pdf[order], pdf[ratio]):
+            if pd.isna(r):
+                rows += [(key[0], wait_at, bool(wait_cut))] if wait_at >= 0 else []
+                held, wait_at, wait_cut = [], -1, False
+                continue
             if wait_at >= 0:
                 rows.append((key[0], wait_at, bool(wait_cut and r >= 0.02)))
             top = max(held, default=None)
             wait_at, wait_cut = int(at), top is not None and r >= 0.9 and (r >= top + 0.1 or 1 - r <= (1 - top) / 2)
             held = [*held, float(r)][-3:]
-        state.update((held, wait_at, bool(wait_cut)))
+        if wait_at >= 0:
+            state.update((held, wait_at, bool(wait_cut)))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=["key", "at", "cut"])
 
     return frames.groupBy(by).applyInPandasWithState(run, "key long, at long, cut boolean", "held array<double>, wait_at long, wait_cut boolean", "append", GroupStateTimeout.NoTimeout)

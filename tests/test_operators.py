@@ -143,6 +143,23 @@ def test_bucket_and_cut_streams_equal_batch(spark, tmp_path):
     assert {k: max((at, f, u) for key, at, f, u in results[0]["bucket"] if key == k)[1:] for k in range(3)} == batch
 
 
+def test_ended_cut_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(5)
+    ratios = {k: [rng.choice([0.3, 0.5, 0.95, 1.0, 0.01]) for _ in range(29)] + [0.3, 1.0] for k in range(3)}  # the last frame is a cut
+    want = []
+    for k, v in ratios.items():
+        for i, r in enumerate(v):
+            top = max(v[max(0, i - 3) : i], default=None)
+            want.append((k, i, top is not None and r >= 0.9 and (r >= top + 0.1 or 1 - r <= (1 - top) / 2) and not (i + 1 < len(v) and v[i + 1] < 0.02)))
+    rows = [(k, i, r) for i in range(32) for k, v in ratios.items() for r in [v[i] if i < 31 else None]]
+    for c in range(4):
+        spark.createDataFrame(rows[c * 24 : (c + 1) * 24], "k long, i long, ratio double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema("k long, i long, ratio double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = scans.cut_stream(files, "k", "i", "ratio").writeStream.format("memory").queryName("ended").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(map(tuple, spark.sql("SELECT * FROM ended").collect())) == want
+
+
 def test_bd_rate():
     ref = [(1000, 80), (2000, 86), (4000, 91), (8000, 95)]
     assert curves.bd_rate(ref, [(r * 0.9, s) for r, s in ref]) == pytest.approx(-10)
