@@ -117,7 +117,8 @@ def links(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.95, vec_id
         return rows.select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
     if grid is None:
         share = min(1.0, 1.5 * SAMPLE / total)
-        x, _ = unit(sound.where((F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)) < share).select("v").limit(SAMPLE).toArrow().combine_chunks().to_batches()[0], "v")
+        u = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)  # in its order, any beginning of the sample is drawn from the whole table
+        x, _ = unit(sound.where(u < share).orderBy(u, "node").select("v").limit(SAMPLE).toArrow().combine_chunks().to_batches()[0], "v")
         grid = Grid(x, int(np.clip(np.sqrt(total / PER_CELL), 2, CODEWORDS)))
         visits = grid.needed(x[:2000], cosine, recall)
     else:

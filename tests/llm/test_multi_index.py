@@ -59,3 +59,21 @@ def test_edges(spark):
     out = sorted((r["_id"] or 0, r.n_links, r.component_id) for r in multi_index.links(docs).collect())
     assert out == sorted([(1, 3, 1), (1, 3, 1), (2, 3, 1), (0, 3, 1), *((i, 0, i) for i in range(3, 11))])
     assert multi_index.links(docs.limit(0)).count() == 0
+
+
+def test_sample_is_drawn_from_the_whole_table(spark, monkeypatch):
+    """Rows in order of their angle: the sample's ends and its first rows reach over all of them."""
+    class Seen(Exception):
+        pass
+
+    def grid(x, k):
+        raise Seen(x)
+
+    monkeypatch.setattr(multi_index, "SAMPLE", 200)
+    monkeypatch.setattr(multi_index, "Grid", grid)
+    rows = spark.range(4000).coalesce(1).selectExpr("id AS vec_id", "array(cos(id / 4000), sin(id / 4000)) AS embedding")
+    try:
+        multi_index.links(rows)
+    except Seen as e:
+        at = np.arctan2(e.args[0][:, 1], e.args[0][:, 0])
+    assert 150 <= len(at) <= 200 and at.max() > 0.95 and abs(at.mean() - 0.5) < 0.1 and abs(at[:50].mean() - 0.5) < 0.2
