@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .codepoints import PrefixHash, batches, codes, release, slices
+from .codepoints import batches, codes, kept, release, slices, span_hashes
 from .pretokens import Encoder, distinct, folded, ragged, split
 from .storage import row_key, written
 
@@ -30,14 +30,10 @@ from .storage import row_key, written
 FREQUENT = 1_200_000
 #: Distinct words that a task holds before it passes them on.
 HELD = 250_000
-_ENCODERS: dict[str, Encoder] = {}
-
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def _split(texts: list[str], enc: Encoder):
@@ -88,26 +84,26 @@ def encoded(words: DataFrame, tokenizer: str) -> DataFrame:
 
 
 class Frequent:
-    """The frequent words as sorted hashes with their ids in one pool."""
+    """The frequent words, told by two independent hashes of 64 bits, sorted by the first, with their ids in one pool."""
 
     def __init__(self, rows: pa.Table):
         words = rows.column("word").to_pylist()
-        hashes = [np.zeros(0, np.uint64)]
+        hashes = [np.zeros((0, 2), np.uint64)]
         for x, y in slices(words):
             cp, starts = codes(words[x:y])
-            hashes.append(PrefixHash(cp)(starts[:-1], starts[1:]))
+            hashes.append(np.stack(span_hashes(cp, starts[:-1], starts[1:]), 1))
         h = np.concatenate(hashes)
-        order = np.argsort(h)
+        order = np.argsort(h[:, 0], kind="stable")
         ids = rows.column("ids").take(pa.array(order)).to_pylist()
-        self.hashes, self.length = h[order], np.array([len(i) // 4 for i in ids], np.int64)
-        self.offset, self.pool = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(ids), "<u4")
+        self.hashes, self.second, self.length = h[order, 0], h[order, 1], np.array([len(i) // 4 for i in ids], np.int32)
+        self.offset, self.pool = np.cumsum(self.length, dtype=np.int64) - self.length, np.frombuffer(b"".join(ids), "<u4")
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """The place of each hash, or -1."""
+        """The place of each word, or -1."""
         if not len(self.hashes):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        at = np.minimum(np.searchsorted(self.hashes, h[:, 0]), len(self.hashes) - 1)
+        return np.where((self.hashes[at] == h[:, 0]) & (self.second[at] == h[:, 1]), at, -1)
 
 
 def frequent(words: DataFrame, limit: int = FREQUENT) -> int:

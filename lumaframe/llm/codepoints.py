@@ -1,6 +1,7 @@
 """Whole batches of texts as code-point arrays, for the operators that work in numpy."""
 
 import ctypes
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +23,25 @@ def release() -> None:
         trim(0)
 
 
+#: What a worker process keeps between tasks: one thing for each name.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """make(), once a worker process; everything kept under another name is given up first, so that a worker holds the needs of one operator."""
+    if name not in _KEPT:
+        give_up()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def give_up() -> None:
+    """Lets go of what earlier operators have kept in this worker process."""
+    if _KEPT:
+        _KEPT.clear()
+        release()
+
+
 class Texts:
     """A string column whose rows become Python strings, null as empty, only when a run of them is asked for."""
 
@@ -80,6 +100,43 @@ def categories() -> np.ndarray:
     return table
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit numbers (the finaliser of splitmix64)."""
+    x = x.astype(np.uint64)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Spans up to this length are hashed side by side, longer ones one by one.
+_LONG = 48
+
+
+def absorbed(h: np.ndarray, x: np.ndarray, odd: int) -> np.ndarray:
+    """One more number in each hash. Not linear in the numbers, so that no pattern of them cancels out."""
+    h = (h ^ x) * np.uint64(odd)
+    return h ^ (h >> np.uint64(29))
+
+
+def span_hashes(cp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each span cp[a:b]: equal spans have equal ones wherever they stand."""
+    n = b - a
+    order = np.argsort(-n, kind="stable")
+    size, at = n[order], a[order]
+    one, two = mixed(size + 1), mixed(size + 0x5851F42D)
+    live = np.searchsorted(-size, -np.arange(min(int(size[0]) if len(size) else 0, _LONG)), side="left")  # spans longer than i
+    for i, m in enumerate(live.tolist()):
+        x = cp[at[:m] + i].astype(np.uint64) + np.uint64(1)
+        one[:m], two[:m] = absorbed(one[:m], x, _ODD), absorbed(two[:m], x, 0xD6E8FEB86659FD93)
+    for i in range(int(np.searchsorted(-size, -_LONG, side="left"))):
+        one[i], two[i] = np.frombuffer(hashlib.blake2b(cp[at[i] : at[i] + size[i]].astype("<u4").tobytes(), digest_size=16).digest(), "<u8")
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return mixed(one)[back], mixed(two)[back]
+
+
 _grown: dict[str, np.ndarray] = {}
 
 
@@ -94,16 +151,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _grown["p"][:n], _grown["q"][:n]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scrambling of 64-bit numbers (the finaliser of splitmix64)."""
-    x = x.astype(np.uint64)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class PrefixHash:
     """64-bit hashes of any spans of a sequence of numbers: equal spans have equal hashes wherever they stand."""
 

@@ -11,7 +11,7 @@ from functools import cached_property
 import numpy as np
 from tokenizers import Tokenizer
 
-from .codepoints import PrefixHash, categories, codes
+from .codepoints import categories, codes, span_hashes
 
 
 def folded(text: str) -> str:
@@ -58,8 +58,13 @@ def split(texts: list[str], words: bool) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def distinct(cp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pieces: the sorted distinct hashes, where each first stands, which one each piece is, and counts."""
-    return np.unique(PrefixHash(cp)(a, b), return_index=True, return_inverse=True, return_counts=True)
+    """Of the pieces: two independent hashes of the distinct ones (two columns, by the first), where each first stands, which one each piece is, and counts."""
+    one, two = span_hashes(cp, a, b)
+    _, first, which, n = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
+    if (two[first][which] != two).any():  # pieces that only the second hash tells apart
+        _, first, which, n = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        which = which.reshape(-1)
+    return np.stack([one[first], two[first]], 1), first, which, n
 
 
 class Encoder:

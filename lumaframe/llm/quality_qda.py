@@ -11,12 +11,14 @@ are left out; a document with several labels is used once for each; with fewer t
 of class 1, or 0.5 without any label; other columns pass through.
 """
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codepoints import PrefixHash, batches, categories, codes, slices
+from .codepoints import batches, categories, codes, give_up, release, slices, span_hashes
 from .crossparse import fold
 from .storage import written
 
@@ -27,6 +29,7 @@ FEATURES = (
 PROSE = ".,;:'\"?()-"
 
 
+@lru_cache(1)
 def _classes() -> np.ndarray:
     table = categories().copy()
     table[[ord(c) for c in PROSE]] = 4
@@ -61,7 +64,7 @@ def statistics(texts: list[str], classes: np.ndarray) -> np.ndarray:
     bars = np.bincount(word_of, (last - first == 1) & (kind[first] == 0), minlength=n) / some if len(first) else np.zeros(n)
     short = np.bincount(word_of, last - first <= 3, minlength=n) / some if len(first) else np.zeros(n)
     if len(first):
-        h = PrefixHash(cp)(first, last)
+        h, _ = span_hashes(cp, first, last)
         order = np.lexsort((h, word_of))
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (word_of[order][1:] != word_of[order][:-1])
@@ -111,6 +114,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = docs.select(*kept, F.expr("cast(null as array<double>)").alias("_x")).schema
 
     def run(parts):
+        give_up()
         classes = _classes()
         for batch in parts:
             texts = batches(batch.column(text))
@@ -118,6 +122,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             flat = np.concatenate(rows).reshape(-1) if rows else np.zeros(0)
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(FEATURES)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), x], [*kept, "_x"])
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -169,10 +174,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, text: str
     shared = docs.schema
 
     def run(parts):
+        give_up()
         classes = _classes()
         for batch in parts:
             texts = batches(batch.column(text))
             score = np.concatenate([np.zeros(0), *(model.score(statistics(texts[a:b], classes)) for a, b in slices(texts))])
             yield batch.filter(pa.array(score >= least))
+        release()
 
     return docs.mapInArrow(run, shared)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .codepoints import batches, release, slices
+from .codepoints import batches, kept, release, slices
 from .pretokens import Encoder, distinct, ragged, split
 from .storage import fresh_path
 
@@ -70,11 +70,11 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.slots, self.latest = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+        self.keys, self.slots, self.latest = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), {}
         self.offset, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used, self.known = np.zeros(1 << 18, np.uint32), 0, 0
 
-    def _add(self, hashes: list[int], pieces: list[str]) -> None:
+    def _add(self, hashes: list[tuple[int, int]], pieces: list[str]) -> None:
         for h, ids in zip(hashes, self.encoder.encode(pieces)):
             if self.known == len(self.offset):
                 self.offset, self.length = np.resize(self.offset, 2 * self.known), np.resize(self.length, 2 * self.known)
@@ -85,20 +85,20 @@ class Tokens:
             self.used, self.known = self.used + len(ids), self.known + 1
 
     def _slots(self, h: np.ndarray, piece) -> np.ndarray:
-        """Where the ids of each hash are; piece(i) is the text of the i-th."""
+        """Where the ids of each piece are, told by its two hashes; piece(i) is the text of the i-th."""
         if len(self.latest) > LATEST:
-            keys = np.concatenate([self.keys, np.fromiter(self.latest.keys(), np.uint64, len(self.latest))])
+            keys = np.concatenate([self.keys, np.array(list(self.latest.keys()), np.uint64)])
             slots = np.concatenate([self.slots, np.fromiter(self.latest.values(), np.int64, len(self.latest))])
-            order = np.argsort(keys)
+            order = np.argsort(keys[:, 0], kind="stable")
             self.keys, self.slots, self.latest = keys[order], slots[order], {}
         if self.known > CACHE:
             self.forget()
         slot = np.full(len(h), -1)
         if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            slot = np.where(self.keys[at] == h, self.slots[at], -1)
+            at = np.minimum(np.searchsorted(self.keys[:, 0], h[:, 0]), len(self.keys) - 1)
+            slot = np.where((self.keys[at] == h).all(1), self.slots[at], -1)
         rest = np.flatnonzero(slot < 0)
-        names = h[rest].tolist()
+        names = list(map(tuple, h[rest].tolist()))
         new = [(x, i) for x, i in zip(names, rest.tolist()) if x not in self.latest]
         self._add([x for x, _ in new], [piece(i) for _, i in new])
         slot[rest] = [self.latest[x] for x in names]
@@ -120,14 +120,9 @@ class Tokens:
         return [whole.get(i, ids[cut[i] : cut[i + 1]]) for i in range(len(texts))]
 
 
-_TOKENS: dict[str, Tokens] = {}
-
-
 def tokens_of(path: str) -> Tokens:
     """One for each worker process and file, with what it has encoded so far."""
-    if path not in _TOKENS:
-        _TOKENS[path] = Tokens(path)
-    return _TOKENS[path]
+    return kept(f"tokens {path}", lambda: Tokens(path))
 
 
 def write(docs: DataFrame, tokenizer: str, path: str | None = None, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> str:
