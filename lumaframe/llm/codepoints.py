@@ -135,29 +135,3 @@ def span_hashes(cp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     return mixed(one)[back], mixed(two)[back]
-
-
-_grown: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2**64."""
-    if len(_grown.get("p", ())) < n:
-        size = max(n, SLICE_CHARS * 2)
-        for name, base in (("p", _ODD), ("q", pow(_ODD, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _grown[name] = np.multiply.accumulate(steps)
-    return _grown["p"][:n], _grown["q"][:n]
-
-
-class PrefixHash:
-    """64-bit hashes of any spans of a sequence of numbers: equal spans have equal hashes wherever they stand."""
-
-    def __init__(self, values: np.ndarray):
-        p, self.q = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(mixed(values.astype(np.uint64) + np.uint64(0x1234567)) * p[: len(values)], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.q[start])
