@@ -69,7 +69,7 @@ def linked(found: DataFrame, scope: int = 400) -> DataFrame:
     near = Window.partitionBy("_id", "_h").orderBy("start").rangeBetween(-scope, scope)
     have = lambda r: F.max(F.col("_role") == r).over(near)
     before = Window.partitionBy("_id", "_h").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("_id", "_h").orderBy("start", "order").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("_id", "_h").orderBy(F.desc("start"), F.desc("order")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that only grows is not computed anew for each row
     base = F.col("order") < len(BASE)
     near_by = found.withColumn("_role", role).select(
         "*", have("id").alias("_i"), have("secret").alias("_s"), have("endpoint").alias("_e"),
