@@ -1,14 +1,18 @@
 """Language identification by cross-parsing entropy (after Ziv and Merhav, 1993).
 
-Each language has a suffix automaton of labelled text. A text is parsed into the longest phrases that occur in a language's
-text; the language with the fewest phrases, normalised by the length of the text and the size of the automaton, wins.
-Texts are lower-cased and runs of non-letters become one blank. Parsing restarts every SEGMENT characters, so that the
-pieces of all texts of a batch are parsed side by side; whole texts are used.
+Each language has a suffix automaton of labelled text. A whole text is parsed greedily into the longest phrases that occur in a
+language's text; the language with the fewest phrases, normalised by the length of the text and the size of the automaton, wins.
+Texts are lower-cased and runs of non-letters become one blank. Every letter of a language's samples is told apart.
 
-The fit takes a sample of `docs_per_lang` documents with an excerpt of `excerpt` characters each; that bound is the only one.
+Greedy parses that meet at the beginning of a phrase are one from there. So the pieces of a text, SEGMENT symbols each, are parsed
+side by side, and each is carried on into the next until it meets that one's parse: the result is the parse of the whole text.
+
+The fit takes a sample of `docs_per_lang` documents with an excerpt of `excerpt` characters each; these two bounds are the only ones. A model
+takes about 90 bytes a sampled character (at most 2.6 MB a language by default); one of more than MODEL_BYTES is refused, not broadcast.
 
 Edge cases: a null or empty text or one without a letter is `und` with score 0; ties go to the first language in order;
-rows are handled one by one, so that repeated rows and null ids do no harm; with no labelled row at all, every text is `und`.
+rows are handled one by one, so that repeated rows and null ids do no harm; with no labelled row at all, every text is `und`;
+columns of the input that are named like those added are an error.
 """
 
 import numpy as np
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from .codepoints import batches, categories, codes, slices
 
 SEGMENT = 256
-#: Letters told apart; rarer ones occur in no phrase.
-LETTERS = 120
+#: The most that is broadcast.
+MODEL_BYTES = 1 << 30
 
 
 def normal(text: str) -> str:
@@ -79,38 +83,74 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return to
 
 
+class Automaton:
+    """An automaton with its rows laid over one another: the edge of state s by symbol c is at base[s] + c, if owner says so."""
+
+    def __init__(self, to: list[dict[int, int]], symbols: int):
+        used = bytearray(2 * sum(map(len, to)) + 2 * symbols + 2)
+        self.base, free = np.zeros(len(to), np.int32), 0
+        for s in sorted(range(len(to)), key=lambda s: -len(to[s])):
+            if to[s]:
+                cs = sorted(to[s])
+                gaps, at = [c - cs[0] for c in cs[1:]], used.index(0, free)
+                free, tries = at, 0
+                while any(used[at + g] for g in gaps):  # the place of the least symbol is free
+                    at, tries = used.index(0, at + 1), tries + 1
+                    if at + 2 * symbols >= len(used):
+                        used += bytes(len(used))
+                if tries > 20:  # what lies before is too full to be worth another look
+                    free = at
+                for g in [0, *gaps]:
+                    used[at + g] = 1
+                self.base[s] = at - cs[0] + symbols  # never below 0
+                if at + 2 * symbols >= len(used):
+                    used += bytes(len(used))
+        size = int(self.base.max(initial=0)) + symbols + 1
+        self.owner, self.to, self.start = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(symbols, np.int32)
+        for s, row in enumerate(to):
+            for c, t in row.items():
+                self.owner[self.base[s] + c], self.to[self.base[s] + c] = s, t
+        for c, t in to[0].items():
+            self.start[c] = t
+
+    @property
+    def nbytes(self) -> int:
+        return self.base.nbytes + self.owner.nbytes + self.to.nbytes
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins with the symbol. State 0: no phrase is open."""
+        at = self.base.take(state) + symbol
+        on = self.owner.take(at) == state
+        return np.where(on, self.to.take(at), self.start.take(symbol)), ~on | (state == 0)
+
+
 class Model:
-    """The automata of all languages as dense tables."""
+    """The automata of all languages."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         texts = {k: [normal(t) for t in v] for k, v in samples.items()}
-        counts: dict[str, int] = {}
-        for v in texts.values():
-            for ch in "".join(v):
-                counts[ch] = counts.get(ch, 0) + 1
-        letters = sorted(counts, key=lambda ch: (-counts[ch], ch))[:LETTERS]
-        self.width = len(letters) + 1  # 0: an unknown letter
-        self.classes = {ord(ch): i + 1 for i, ch in enumerate(letters)}
-        self.tables, self.bits = [], []
+        letters = sorted({ch for v in texts.values() for t in v for ch in t} | {" "})
+        self.letters = {ord(ch): i + 1 for i, ch in enumerate(letters)}  # 0: a letter in no sample
+        self.automata, self.symbols, self.bits = [], [], []
         for k in self.langs:
-            symbols = [s for t in texts[k] for s in [*(self.classes.get(ord(ch), -1) for ch in t), -1]]
-            to = automaton(symbols)
-            table = np.empty((len(to), self.width), np.int32)
-            # value: 2 * (next state * width) + 1 if a new phrase begins here
-            table[:] = 1
-            for c, s in to[0].items():
-                table[:, c] = 2 * s * self.width + 1
-            for s, edges in enumerate(to):
-                for c, t in edges.items():
-                    table[s, c] = 2 * t * self.width + (s == 0)
-            self.tables.append(table.reshape(-1))
+            own = {c: i + 1 for i, c in enumerate(sorted({self.letters[ord(ch)] for t in texts[k] for ch in t}))}
+            table = np.zeros(len(letters) + 1, np.int32)  # of a letter, its symbol in this language
+            for c, i in own.items():
+                table[c] = i
+            symbols = [s for t in texts[k] for s in [*(own[self.letters[ord(ch)]] for ch in t), -1]]
+            self.symbols.append(table)
+            self.automata.append(Automaton(automaton(symbols), len(own) + 1))
             self.bits.append(np.log2(max(2, len(symbols))))
 
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in self.automata) + sum(t.nbytes for t in self.symbols)
+
     def lookup(self) -> np.ndarray:
-        """Class of each code point: a letter's, the blank's for non-letters, else unknown."""
-        table = np.where(categories() == 1, 0, self.classes.get(32, 0)).astype(np.int32)
-        for cp, c in self.classes.items():
+        """The letter of each code point, the blank for non-letters."""
+        table = np.where(categories() == 1, 0, self.letters.get(32, 0)).astype(np.int32)
+        for cp, c in self.letters.items():
             table[cp] = c
         return table
 
@@ -129,28 +169,52 @@ class Model:
         np.cumsum(keep, out=kept[1:])
         begin = kept[starts]
         size = np.diff(begin)
-        symbols = lookup[cp[keep]]
+        found = lookup[cp[keep]]
         pieces = -(-size // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), pieces)
         order = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         at = begin[:-1][owner] + order * SEGMENT
-        lengths = np.minimum(begin[1:][owner] - at, SEGMENT)
-        rank = np.argsort(-lengths, kind="stable")  # the longest first: shorter ones drop off the end as they finish
-        at, owner, lengths = at[rank], owner[rank], lengths[rank]
-        live = np.searchsorted(-lengths, -np.arange(1, SEGMENT + 1), side="right")
-        counts = np.zeros((len(self.langs), len(texts)), np.int64)
-        for k, table in enumerate(self.tables):
-            state, n = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-            for t in range(SEGMENT):
-                m = live[t]
-                if not m:
-                    break
-                step = table.take(state[:m] + symbols[at[:m] + t])
-                n[:m] += step & 1
-                np.right_shift(step, 1, out=state[:m])
-            counts[k] = np.bincount(owner, n, len(texts))
+        end = np.minimum(at + SEGMENT, begin[1:][owner])
+        counts = np.array([self.parsed(a, s[found], at, end, begin[1:][owner], owner, len(texts)) for a, s in zip(self.automata, self.symbols)]).reshape(len(self.langs), len(texts))
         return counts, size, has
 
+    @staticmethod
+    def parsed(a: Automaton, symbols: np.ndarray, at: np.ndarray, end: np.ndarray, last: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        """Phrases of each text. Pieces begin at `at` and end at `end`, their texts end at `last`."""
+        rank = np.argsort(at - end, kind="stable")  # the longest first: shorter ones drop off as they finish
+        start, state, mark = at[rank], np.zeros(len(at), np.int32), np.zeros(len(symbols) + 1, bool)
+        live = np.searchsorted((at - end)[rank], -np.arange(1, SEGMENT + 1), side="right")
+        for t in range(SEGMENT):
+            m = live[t]
+            if not m:
+                break
+            state[:m], new = a.step(state[:m], symbols[start[:m] + t])
+            mark[start[:m] + t] = new
+        # carried on: until a phrase begins where one of the pieces there begins one
+        over, p, met, extra = np.arange(len(at)), end[rank].copy(), np.full(len(at), -1), np.zeros(len(at), np.int64)
+        limit = last[rank]
+        on = np.flatnonzero(p < limit)
+        over, p, state, limit = rank[on], p[on], state[on], limit[on]
+        while len(over):
+            state, new = a.step(state, symbols[p])
+            meets = new & mark[p]
+            met[over[meets]] = p[meets]
+            extra[over[new & ~meets]] += 1
+            p = p + 1
+            on = np.flatnonzero(~meets & (p < limit))
+            over, p, state, limit = over[on], p[on], state[on], limit[on]
+        before = np.zeros(len(mark), np.int64)
+        np.cumsum(mark[:-1], out=before[1:])
+        into = np.searchsorted(at, met, side="right") - 1
+        tail = extra.tolist()  # phrases from the end of each piece to the end of its text
+        for i in np.flatnonzero(met >= 0)[::-1].tolist():
+            j = into[i]
+            tail[i] += int(before[end[j]] - before[met[i]]) + tail[j]
+        out = np.zeros(texts, np.int64)
+        heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        out[owner[heads]] = before[end[heads]] - before[at[heads]] + np.array(tail, np.int64)[heads]
+        return out
+
     def predict(self, texts: list[str], lookup: np.ndarray) -> tuple[list[str], np.ndarray]:
         if not self.langs or not texts:
             return ["und"] * len(texts), np.zeros(len(texts))
@@ -172,7 +236,7 @@ def fold(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, docs_per_lang: int = 48, excerpt: int = 600, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from rows with a language outside the held-out fold: per language about docs_per_lang of them by a hash, with excerpt characters each."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc_id)) != 2) & (F.length(text) >= 20)).select(
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc_id)) != 2)).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 40)) / (1 << 40)).alias("u"))
     shares = {r.lang: min(1.0, 2.0 * docs_per_lang / r["count"]) for r in rows.groupBy("lang").count().collect()}
     if not shares:
@@ -188,6 +252,8 @@ def fit(docs: DataFrame, docs_per_lang: int = 48, excerpt: int = 600, doc_id: st
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with _lang and _score added."""
+    if model.nbytes > MODEL_BYTES:
+        raise ValueError(f"a model of {model.nbytes} bytes is too large to broadcast: fit fewer languages or shorter samples")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score")).schema
 

@@ -166,21 +166,18 @@ def test_language(spark, sf_dir, texts):
 def test_language_parse_is_the_greedy_one_and_edges(spark):
     sample = {"xx": ["abra cadabra abra", "barn"], "yy": ["noon moon", "no monsoon"]}
     model = crossparse.Model(sample)
-    known = {chr(c) for c in model.classes}
 
     def brute(text, lang):
-        joined, text, n = "\0".join(map(crossparse.normal, sample[lang])), crossparse.normal(text), 0
-        for at in range(0, len(text), crossparse.SEGMENT):
-            piece, i = text[at : at + crossparse.SEGMENT], 0
-            while i < len(piece):
-                j = i + 1
-                while j <= len(piece) and set(piece[i:j]) <= known and piece[i:j] in joined:
-                    j += 1
-                i, n = max(i + 1, j - 1), n + 1
+        joined, text, i, n = "\0".join(map(crossparse.normal, sample[lang])), crossparse.normal(text), 0, 0
+        while i < len(text):
+            j = i + 1
+            while j <= len(text) and text[i:j] in joined:
+                j += 1
+            i, n = max(i + 1, j - 1), n + 1
         return n
 
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abrcdnomsZ é12 ") for _ in range(rng.randrange(1, 900))) for _ in range(40)] + ["", "a", "  a", "abra"]
+    texts = ["".join(rng.choice("abrcdnomsZ é12 ") for _ in range(rng.randrange(1, 900))) for _ in range(40)] + ["", "a", "  a", "abra", "abra cadabra " * 90, "noon" * 300, "zz" * 400]
     counts, _, _ = model.phrases(texts, model.lookup())
     assert counts.tolist() == [[brute(t, k) for t in texts] for k in model.langs]
     out = crossparse.identify(odd(spark), model).collect()
@@ -189,3 +186,18 @@ def test_language_parse_is_the_greedy_one_and_edges(spark):
     assert {r["_lang"] for r in crossparse.identify(odd(spark), none).collect()} == {"und"}
 
 
+def test_languages_of_many_letters_and_many_languages(spark):
+    """Two languages of 512 ideographs each, thirty of a few Latin letters with texts of any length, all learnt and told apart."""
+    rng = random.Random(3)
+    alphabets = {f"c{i}": [chr(0x4E00 + 512 * i + k) for k in range(512)] for i in range(2)} | {f"l{i:02}": rng.sample("abcdefghijklmnopqrstuvwxyz", 9) for i in range(30)}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randrange(2, 6))) for _ in range(60)] for k, v in alphabets.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(i, text(k, rng.choice([1, 2, 30, 200])), k) for i, k in enumerate(k for k in words for _ in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crossparse.fit(docs)
+    assert model.langs == sorted(words) and model.nbytes < 32 * 2_600_000
+    asked = spark.createDataFrame([(i, text(k, 30), k) for i, k in enumerate(k for k in words for _ in range(5))], "doc_id long, text string, lang string")
+    got = crossparse.identify(asked, model).collect()
+    assert sum(r["_lang"] == r.lang for r in got) >= 0.97 * len(got)
+
+
