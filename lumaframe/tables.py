@@ -7,8 +7,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a batch that goes to an Arrow function, unless the session says otherwise: texts are long, and a batch of Spark's 10,000 is held several times on its way.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a context, so that Arrow functions find it whatever their path is."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if not getattr(context, "_lumaframe_shipped", False):
         context._lumaframe_shipped = True
