@@ -78,3 +78,17 @@ def sessions(units: DataFrame, by: str, order: str, opens: Column, body: Column)
     before = F.last(kind, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     x = units.withColumn("_new", F.when(opens & (before == 1), 1).otherwise(0))
     return x.withColumn("unit", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def picture_order(frames: DataFrame, by: str, order: str, low: str, reference: str, modulus: int) -> DataFrame:
+    """by, order, whole: counts whose low part is coded; the high part is that of the last reference picture, one modulus more or less where the low parts are half of it apart."""
+    long = lambda v: F.lit(v).cast("long")
+    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(low).cast("long").alias("l"), F.col(reference).alias("r"))))
+    zero = F.struct(long(0).alias("msb"), long(0).alias("lsb"), F.expr(f"cast(array() as array<struct<o: {frames.schema[order].dataType.simpleString()}, whole: bigint>>)").alias("out"))
+
+    def step(s: Column, u: Column) -> Column:
+        msb = F.when((u["l"] < s["lsb"]) & (s["lsb"] - u["l"] >= modulus // 2), s["msb"] + modulus).when((u["l"] > s["lsb"]) & (u["l"] - s["lsb"] > modulus // 2), s["msb"] - modulus).otherwise(s["msb"])
+        msb = F.when(F.size(s["out"]) == 0, long(0)).otherwise(msb)
+        return F.struct(F.when(u["r"], msb).otherwise(s["msb"]).alias("msb"), F.when(u["r"], u["l"]).otherwise(s["lsb"]).alias("lsb"), F.concat(s["out"], F.array(F.struct(u["o"].alias("o"), (msb + u["l"]).alias("whole")))).alias("out"))
+
+    return frames.groupBy(by).agg(F.aggregate(seq, zero, step, lambda s: s["out"]).alias("x")).select(by, F.explode("x").alias("x")).select(by, F.col("x.o").alias(order), "x.whole")
