@@ -58,7 +58,7 @@ SUBPARTS = 3
 TOGETHER = 200
 #: Parts of the sketch of a small set.
 SKETCH = 128
-#: A shingle is common if COMMON of SAMPLE nodes drawn by hash hold it, of those of up to SAMPLE_SIZE shingles; at most 80 MB reach the driver. It decides on work, not on results.
+#: A shingle is common if COMMON of SAMPLE nodes drawn by hash hold it, of those of up to SAMPLE_SIZE shingles: at most 20 MB reach the driver. It decides on work, not on results.
 SAMPLE, SAMPLE_SIZE, COMMON = 5000, 2000, 4
 #: Signatures that meet in one group, and that a task holds before it passes them on.
 MEET, HELD = 400_000, 600_000
@@ -424,8 +424,8 @@ class Join:
                     yield pa.RecordBatch.from_arrays([batch.column("node").slice(x, y - x), pa.array([h[at[i] : at[i + 1]].astype("<u8").tobytes() for i in range(y - x)], pa.binary())], ["node", "set"])
             release()
 
-        own = written(self.nodes.select("node", "rep").join(wanted, "node", "left_semi"), "wanted")
-        return written(self.texts(own, own.count() <= BROADCAST_ROWS).mapInArrow(run, "node long, set binary"), "sets")
+        own = written(self.nodes.select("node", "rep").join(wanted, "node", "left_semi"), "wanted", few=True)
+        return written(self.texts(own, own.count() <= BROADCAST_ROWS).mapInArrow(run, "node long, set binary"), "sets", few=True)
 
     def compared(self, pairs: DataFrame, sets: DataFrame, with_set, schema: str) -> DataFrame:
         """with_set(a, own set, [b], [set of b]) -> table, for the pairs (a, b). Each pair moves one set: the pairs of a node meet its set, in groups of about TOGETHER."""
@@ -463,7 +463,7 @@ class Join:
         close = pairs
         for column in ("sketch", "wide"):  # what the first leaves is little enough for the second, which is as long as an eighth of the set
             before = close
-            close = written(close.join(side("a", column), "a").join(side("b", column), "b").where("7 * abs(na - nb) <= na + nb").mapInArrow(near, "a long, b long"), "close")
+            close = written(close.join(side("a", column), "a").join(side("b", column), "b").where("7 * abs(na - nb) <= na + nb").mapInArrow(near, "a long, b long"), "close", few=True)
             if column == "wide":
                 discard(before)
         held = self.sets(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
@@ -473,7 +473,7 @@ class Join:
             keep = b[100 * both >= PERCENT * (len(own) + np.array([len(x) for x in others]) - both)]
             return pa.table({"a": np.full(len(keep), a), "b": keep})
 
-        links = written(self.compared(close, held, same, "a long, b long"), "links")
+        links = written(self.compared(close, held, same, "a long, b long"), "links", few=True)
         discard(close, held)
         return links
 
@@ -481,7 +481,7 @@ class Join:
         """node, pop: how many nodes share its least hashes, of the nodes that share any; in a group of near copies, most for those in its middle."""
         keyed = self.nodes.select("node", F.explode("keys").alias("key"))
         shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        return written(keyed.join(shared, "key").groupBy("node").agg(F.least(F.sum("m"), F.lit(2_000_000_000)).cast("int").alias("pop")), "central")
+        return written(keyed.join(shared, "key").groupBy("node").agg(F.least(F.sum("m"), F.lit(2_000_000_000)).cast("int").alias("pop")), "central", few=True)
 
     def led(self, central: DataFrame) -> DataFrame:
         """Pairs of a node with the most central of those that share one of its least hashes."""
@@ -494,9 +494,14 @@ class Join:
         u = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 30)) / (1 << 30)
         few = self.nodes.where(F.col("n") <= SAMPLE_SIZE)
         some = self.sets(few.where(u < min(1.0, 1.2 * SAMPLE / max(1, few.count()))).orderBy(u).limit(SAMPLE).select("node"))
-        h = np.frombuffer(b"".join(some.select("set").toArrow().column(0).to_pylist()), "<u8")
-        found, n = np.unique(h, return_counts=True)
-        return found[n >= COMMON]
+
+        def counted(parts):
+            for batch in parts:
+                h, n = np.unique(np.frombuffer(b"".join(batch.column("set").to_pylist()), "<i8"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+
+        found = some.select("set").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select("h").toArrow()
+        return np.sort(found.column("h").to_numpy().view(np.uint64))
 
     def scheme(self) -> Scheme:
         top = self.nodes.agg(F.max("n").alias("m")).first().m or 1
@@ -537,7 +542,7 @@ class Join:
             release()
 
         blobs = self.texts(nodes, False).mapInArrow(run, "p long, blob binary")
-        return written(blobs.groupBy("p").applyInArrow(lambda t: meeting(t, scheme.few), SIGNED), "signed")
+        return written(blobs.groupBy("p").applyInArrow(lambda t: meeting(t, scheme.few), SIGNED), "signed", few=True)
 
     def stuck(self, scheme: Scheme, signed: DataFrame, roots: DataFrame, central: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(x, p): stuck nodes and their pivots, a negative number for the empty set; and the sets of all of them. In place of a pivot stands the most central node of the component
@@ -555,7 +560,7 @@ class Join:
         many = signed.where("kind = 2").select("a", "b", F.col("blob").alias("nodes")).join(signed.where("kind = 3").select("a", "b", F.col("blob").alias("pivot")), ["a", "b"]).mapInArrow(members, "a long, b long, blob binary")
         # too few crowded signatures for what the parts need: each takes one difference away at most
         crowd = signed.where("kind = 1").select("a", "b", "blob").unionByName(many).groupBy("a").agg(F.collect_list("blob").alias("lists"), F.min("b").alias("need"), F.sum(F.length("blob") - 4).alias("bytes"))
-        crowd = written(crowd.where("bytes >= 13 * need").select(F.col("a").alias("node"), "lists"), "crowd")
+        crowd = written(crowd.where("bytes >= 13 * need").select(F.col("a").alias("node"), "lists"), "crowd", few=True)
         empty = signed.where("kind = 4").select(F.col("a").alias("x"), (-1 - F.col("b")).alias("p"))
 
         def pivots(parts):
@@ -588,12 +593,12 @@ class Join:
                         yield pa.RecordBatch.from_arrays([some.column("node").take(pa.array(found[:, 0])), pa.array(found[:, 1])], ["x", "p"])
 
         own = self.sets(crowd.select("node"))
-        found = written(crowd.join(own, "node").mapInArrow(pivots, "x long, p long"), "pivots")
+        found = written(crowd.join(own, "node").mapInArrow(pivots, "x long, p long"), "pivots", few=True)
         middle = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(central, "node", "left").groupBy("root").agg(F.max_by("node", F.struct(F.coalesce("pop", F.lit(0)), -F.col("node"))).alias("middle"))
         best = found.join(central.withColumnRenamed("node", "p"), "p").groupBy("x").agg(F.max_by("p", F.struct("pop", -F.col("p"))).alias("best"))
         whole = found.select("p").distinct().join(best.withColumnRenamed("x", "p"), "p", "left").withColumn("best", F.coalesce("best", "p"))
         whole = whole.join(roots.select(F.col("node").alias("best"), "root"), "best", "left").withColumn("root", F.coalesce("root", "best")).join(middle, "root", "left").select("p", F.coalesce("middle", "best").alias("middle"))
-        pairs = written(found.join(whole, "p").select("x", F.col("middle").alias("p")).distinct().unionByName(empty), "stuck")
+        pairs = written(found.join(whole, "p").select("x", F.col("middle").alias("p")).distinct().unionByName(empty), "stuck", few=True)
         return pairs, self.sets(pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct())
 
     def rarest(self, scheme: Scheme, stuck: DataFrame, sets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -606,13 +611,13 @@ class Join:
                 kept = [v[common[np.minimum(np.searchsorted(common, v), len(common) - 1)] != v] if len(common) else v for v in h]
                 yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array([len(v) for v in h], pa.int64()), pa.array([v.view("<i8") for v in kept], pa.list_(pa.int64()))], ["x", "n", "tokens"])
 
-        nodes = written(stuck.join(sets.withColumnRenamed("node", "x"), "x").select("x", "set").mapInArrow(rare, "x long, n long, tokens array<long>"), "rare")
+        nodes = written(stuck.join(sets.withColumnRenamed("node", "x"), "x").select("x", "set").mapInArrow(rare, "x long, n long, tokens array<long>"), "rare", few=True)
         tokens = nodes.select("x", F.explode("tokens").alias("t"))
         shared = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
         ranked = tokens.join(shared, "t").select("x", "t", "c", F.row_number().over(Window.partitionBy("x").orderBy("c", "t")).alias("i"), F.count("*").over(Window.partitionBy("x")).alias("some"))
         facts = nodes.select("x", "n", F.size("tokens").alias("all")).join(roots, "x", "left").select("x", "n", "all", F.coalesce("rx", "x").alias("root"))
         # what no other stuck node has comes first
-        first = written(ranked.join(facts, "x").withColumn("i", F.col("i") + F.col("all") - F.col("some")).where("i <= n div 4 + 1").select("x", "n", "root", "t", "c", "i"), "first")
+        first = written(ranked.join(facts, "x").withColumn("i", F.col("i") + F.col("all") - F.col("some")).where("i <= n div 4 + 1").select("x", "n", "root", "t", "c", "i"), "first", few=True)
         full = facts.where("all < n div 4 + 1").select("x").unionByName(first.where(F.col("c") > RARE).select("x")).distinct()
         one, two = (first.where(F.col("c") <= RARE).select("t", *(F.col(c).alias(f"{c}{k}") for c in ("x", "n", "root", "i"))) for k in (1, 2))
         met = one.join(two, "t").where("x1 < x2 and root1 != root2 and 7 * abs(n1 - n2) <= n1 + n2 and 7 * (1 + least(n1 - i1, n2 - i2)) >= 3 * (n1 + n2)")
@@ -621,6 +626,9 @@ class Join:
     def pivoted(self, scheme: Scheme, signed: DataFrame, roots: DataFrame, central: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links of stuck nodes with their pivots, and candidates (a, b) among the stuck nodes of a pivot."""
         pairs, sets = self.stuck(scheme, signed, roots, central)
+        if not pairs.limit(1).count():
+            none = self.spark.createDataFrame([], "a long, b long")
+            return none, none
         rooted = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
         full, met = self.rarest(scheme, pairs.where("p >= 0").select("x").distinct(), sets, rooted("x"))
         pairs = pairs.join(full, "x", "left_semi").unionByName(pairs.where("p < 0"))
@@ -641,7 +649,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("x"), n, pa.array([0] * len(h), pa.int64()), n, pa.array([False] * len(h)), pa.array(h, pa.list_(pa.int64()))], ["p", "x", "n", "m", "d", "near", "tokens"])
 
         alone = pairs.where("p < 0").join(sets.withColumnRenamed("node", "x"), "x").select("p", "x", "set").mapInArrow(whole, schema)
-        all_ = written(own.unionByName(alone).join(rooted("x"), "x", "left").join(rooted("p"), "p", "left").select("p", "x", "n", "m", "d", "near", "tokens", F.coalesce("rx", "x").alias("root"), (F.coalesce("rx", "x") == F.coalesce("rp", "p")).alias("inside")), "apart")
+        all_ = written(own.unionByName(alone).join(rooted("x"), "x", "left").join(rooted("p"), "p", "left").select("p", "x", "n", "m", "d", "near", "tokens", F.coalesce("rx", "x").alias("root"), (F.coalesce("rx", "x") == F.coalesce("rp", "p")).alias("inside")), "apart", few=True)
         links = all_.where("near and not inside").select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
         # only a pivot with a node outside its component has more to find: pairs of two inner ones are in one component
         outer = all_.withColumn("out", ~F.col("near") & ~F.col("inside"))
@@ -654,13 +662,15 @@ class Join:
         # The rarest come first, and of those what no other node has: d - some of them
         least = F.when(F.col("out"), F.greatest(F.lit(1), F.expr("d - n div 3"))).otherwise(F.expr("(7 * d + m - n) div 14 + 1"))
         facts = outer.select("p", "x", "n", "d", "out", "root", least.alias("least"))
-        first = written(ranked.join(facts, ["p", "x"]).where("i - some <= 1 - least").select("p", "x", "n", "d", "out", "root", "t", "i", "some"), "first")
+        first = written(ranked.join(facts, ["p", "x"]).where("i - some <= 1 - least").select("p", "x", "n", "d", "out", "root", "t", "i", "some"), "first", few=True)
+        if not first.where("out").limit(1).count():
+            return links, met
         # most outer nodes are near one that is near the pivot: the nearest to it of those that share a rare member is tried before all pairs are
         lead = first.groupBy("p", "t").agg(F.min(F.struct("d", "x")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("p", "t", F.col("lead.x").alias("lead"))
         tried = self.verified(first.where("out").join(lead, ["p", "t"]).where("x != lead").select(F.least("x", "lead").alias("a"), F.greatest("x", "lead").alias("b")).distinct())
         links = links.unionByName(tried)
         now = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        first = written(first.drop("root").join(now.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "first")
+        first = written(first.drop("root").join(now.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "first", few=True)
         x = first.where("out").select(*(F.col(c).alias(c if c in ("p", "t") else f"{c}1") for c in first.columns))
         y = first.select(*(F.col(c).alias(c if c in ("p", "t") else f"{c}2") for c in first.columns))
         # seen from their first common member, the overlap is one and what follows in both
@@ -681,7 +691,7 @@ class Join:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, _h, n_shingles, component_id, root for every row of docs. The root tells components of one name apart; it is null for the empty set."""
     join = Join(docs, doc_id, text)
-    nodes = written(join.nodes.select("node", "h1", "h2", "copies", F.col("rep._id").alias("name")).join(join.roots(), "node", "left").select("h1", "h2", "copies", "name", F.coalesce("root", "node").alias("root")), "named")
+    nodes = written(join.nodes.select("node", "h1", "h2", "copies", F.col("rep._id").alias("name")).join(join.roots(), "node", "left").select("h1", "h2", "copies", "name", F.coalesce("root", "node").alias("root")), "named", few=True)
     # a null id is the least of structs but no name: the least of the nodes' least ids that are known
     named = join.rows.where("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("name"))
     nodes = nodes.drop("name").join(named, ["h1", "h2"])
@@ -698,7 +708,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = written(classes(docs, doc_id, text), "classes")
     first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_h")).alias("first")).select(F.col("first._id").alias("_kid"), F.col("first._h").alias("_kh"))
     alone = found.where("n_shingles = 0").select(F.col("_id").alias("_kid"), F.col("_h").alias("_kh")).distinct()
-    keep = written(first.unionByName(alone), "kept")
+    keep = written(first.unionByName(alone), "kept", few=True)
     h = unused(docs, "_h")
     keyed = docs.withColumn(h, row_key(text))
     kept = keyed.join(keep.hint("shuffle_hash"), keyed[doc_id].eqNullSafe(keep["_kid"]) & (keyed[h] == keep["_kh"]), "left_semi")

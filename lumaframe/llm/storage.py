@@ -26,11 +26,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lumaframe/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once, written as Parquet to the shared folder and read back: later reads survive lost executors."""
+def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+    """df, computed once, written as Parquet to the shared folder and read back: later reads survive lost executors.
+
+    few: the rows are few for the tasks that make them; they are brought together by size first, so that not every task leaves a file.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    (df.hint("rebalance") if few else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
