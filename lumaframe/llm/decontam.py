@@ -12,7 +12,7 @@ id and text get equal results; an empty benchmark leaves every document clean; o
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import row_key, written
+from .storage import row_key, unused, written
 
 WINDOW = 13
 #: A fingerprint covers K words and is the least of W in a row: K + W - 1 == WINDOW.
@@ -70,65 +70,64 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """window (its words, joined by a blank), n words, items (ids as strings), head (the coarse hash of a short window)."""
+def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """window (its words, joined by a blank), n words, wid; and wid, item (an id as a string) of the items that hold it, a row each: a window of all items makes no long array."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), exact_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(WINDOW))
-    each = items.select("item", n.alias("n"), F.explode_outer(_each(F.size("w") - n + 1, lambda i: F.array_join(F.slice("w", i, WINDOW), " "))).alias("window"))
-    return each.groupBy("window", "n").agg(F.collect_set("item").alias("items"))
+    each = items.select("item", n.alias("n"), F.explode_outer(_each(F.size("w") - n + 1, lambda i: F.array_join(F.slice("w", i, WINDOW), " "))).alias("window")).distinct()
+    found = written(each.select("window", "n").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    return found, written(each.join(found, ["window", "n"]).select("wid", "item"), "window-items")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """_id, _h, n_hit, items: the documents in which a window occurs, with the number of words inside any and the sorted item ids."""
-    found = written(windows(benchmark, item_id, text), "windows")
-    prints = fingerprints(benchmark.select(coarse_hashes(F.col(text)).alias("h"))).distinct()
+    found, items = windows(benchmark, item_id, text)
+    prints = written(fingerprints(benchmark.select(coarse_hashes(F.col(text)).alias("h"))).distinct(), "prints")
     short = sorted(r.n for r in found.where(F.col("n") < WINDOW).select("n").distinct().collect())
+    heads = {n: written(grams(found.where(F.col("n") == n).select(coarse_hashes(F.col("window")).alias("h")), n).distinct(), "heads") for n in short}
     keyed = docs.select(F.col(doc_id).alias("_id"), row_key(text).alias("_h"), F.col(text).alias("_text"))
 
-    # which texts hold a fingerprint, and which
+    # which texts hold a fingerprint
     hashed = keyed.select("_id", "_h", coarse_hashes(F.col("_text")).alias("h"))
-    marks = fingerprints(hashed, "_id", "_h").join(_small(prints), "fp").select("_id", "_h", F.lit(K).alias("k"), F.lit(False).alias("short"), "fp")
+    marks = fingerprints(hashed, "_id", "_h").join(_small(prints), "fp").select("_id", "_h")
     for n in short:
-        heads = grams(found.where(F.col("n") == n).select(coarse_hashes(F.col("window")).alias("h")), n).distinct()
-        marks = marks.unionByName(grams(hashed, n, "_id", "_h").join(_small(heads), "fp").select("_id", "_h", F.lit(n).alias("k"), F.lit(True).alias("short"), "fp"))
-    marked = written(marks.groupBy(F.col("_id").alias("_mid"), F.col("_h").alias("_mh")).agg(F.collect_set(F.struct("short", "k", "fp")).alias("marks")), "marked")
-
-    # the windows around each mark, word for word
-    near = keyed.join(marked, keyed["_id"].eqNullSafe(marked["_mid"]) & (keyed["_h"] == marked["_mh"])).dropDuplicates(["_id", "_h"])
-    near = near.select("_id", "_h", "marks", exact_words(F.col("_text")).alias("w"), coarse_hashes(F.col("_text")).alias("h"))
-    starts = []
-    for k, is_short in [(K, False), *((n, True) for n in short)]:
-        own = F.expr(f"transform(filter(marks, m -> m.k = {k} and m.short = {is_short}), m -> m.fp)")
-        at = near.select("_id", "_h", "w", own.alias("own"), runs("h", k).alias("g"))
-        at = at.select("_id", "_h", "w", F.when(F.size("own") > 0, F.filter(F.transform("g", lambda x, i: F.when(F.array_contains("own", x), i + 1)), lambda i: i.isNotNull())).alias("at"))
-        n = k if is_short else WINDOW
-        if not is_short:  # W starts reach a run, and a window that starts there must fit
-            reach = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - (W - 1), F.lit(1)), i))))
-            at = at.select("_id", "_h", "w", reach.alias("at"))
-        at = at.select("_id", "_h", "w", F.filter("at", lambda s: s <= F.size("w") - (n - 1)).alias("at"))
-        starts.append(at.select("_id", "_h", F.explode_outer(F.transform("at", lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), F.array_join(F.slice("w", s, n), " ").alias("window")))).alias("x")).where("x is not null").select("_id", "_h", "x.*"))
-    each = starts[0]
-    for more in starts[1:]:
-        each = each.unionByName(more)
-    real = each.join(_small(found), ["window", "n"])
-    return real.groupBy("_id", "_h").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("s", F.col("s") + F.col("n") - 1))))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+        marks = marks.unionByName(grams(hashed, n, "_id", "_h").join(_small(heads[n]), "fp").select("_id", "_h"))
+    marked = written(marks.distinct().select(F.col("_id").alias("_mid"), F.col("_h").alias("_mh")), "marked")
+    near = keyed.join(marked, keyed["_id"].eqNullSafe(marked["_mid"]) & (keyed["_h"] == marked["_mh"])).select("_id", "_h", "_text").dropDuplicates(["_id", "_h"])
+    near = written(near.select("_id", "_h", exact_words(F.col("_text")).alias("w"), coarse_hashes(F.col("_text")).alias("h")), "near")
+
+    # the windows around each place of a fingerprint, word for word
+    each = None
+    for k, known in [(K, prints), *heads.items()]:
+        n = WINDOW if known is prints else k
+        places = near.select("_id", "_h", F.size("w").alias("size"), runs("h", k).alias("g")).select("_id", "_h", "size", F.posexplode("g").alias("at", "fp")).join(_small(known), "fp")
+        if known is prints:  # W starts reach a run, and a window that starts there must fit
+            places = places.select("_id", "_h", "size", F.explode(F.sequence(F.greatest(F.col("at") - (W - 2), F.lit(1)), F.col("at") + 1)).alias("s"))
+        else:
+            places = places.withColumn("s", F.col("at") + 1)
+        starts = places.where(F.col("s") <= F.col("size") - (n - 1)).groupBy(F.col("_id").alias("_sid"), F.col("_h").alias("_sh")).agg(F.collect_set("s").alias("at"))
+        at = near.join(starts, near["_id"].eqNullSafe(starts["_sid"]) & (near["_h"] == starts["_sh"])).select("_id", "_h", "w", "at")
+        cut = at.select("_id", "_h", F.explode(F.transform("at", lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), F.array_join(F.slice("w", s, n), " ").alias("window")))).alias("x")).select("_id", "_h", "x.*")
+        each = cut if each is None else each.unionByName(cut)
+    real = written(each.join(_small(found), ["window", "n"]).select("_id", "_h", "s", "n", "wid"), "real")
+    inside = real.groupBy("_id", "_h").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("s", F.col("s") + F.col("n") - 1))))).cast("long").alias("n_hit"))
+    named = real.select("_id", "_h", "wid").distinct().join(_small(items), "wid").groupBy(F.col("_id").alias("_nid"), F.col("_h").alias("_nh")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return inside.join(named, inside["_id"].eqNullSafe(named["_nid"]) & (inside["_h"] == named["_nh"])).select("_id", "_h", "n_hit", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """docs with _n_words, _n_hit, _items and _contaminated (share * n_hit >= n_words, and any hit) added."""
-    found = hits(docs, benchmark, doc_id, text, item_id).withColumnsRenamed({"_id": "_fid", "_h": "_fh", "n_hit": "_fhit", "items": "_fitems"})
-    keyed = docs.withColumn("_h", row_key(text)).withColumn("_n_words", F.size(words(F.col(text))).cast("long"))
-    joined = keyed.join(found, keyed[doc_id].eqNullSafe(found["_fid"]) & (keyed["_h"] == found["_fh"]), "left")
+    """docs with _n_words, _n_hit, _items and _contaminated (share * n_hit >= n_words, and any hit) added. Where docs has a column of such a name, the added one ends in underscores."""
+    found = hits(docs, benchmark, doc_id, text, item_id).select(F.col("_id").alias("_fid"), F.col("_h").alias("_fh"), F.col("n_hit").alias("_fhit"), F.col("items").alias("_fitems"))
+    every = F.struct("*")  # as one column, so that no name of docs meets one of found
+    keyed = docs.select(every.alias("_doc"), F.col(doc_id).alias("_kid"), row_key(text).alias("_kh"), F.size(words(F.col(text))).cast("long").alias("_words"))
+    joined = keyed.join(found, F.col("_kid").eqNullSafe(F.col("_fid")) & (F.col("_kh") == F.col("_fh")), "left")
     n_hit = F.coalesce(F.col("_fhit"), F.lit(0))
     return joined.select(
-        *(keyed[c] for c in docs.columns), "_n_words", n_hit.alias("_n_hit"),
-        F.coalesce(F.col("_fitems"), F.expr("cast(array() as array<string>)")).alias("_items"), ((n_hit > 0) & (n_hit * share >= F.col("_n_words"))).alias("_contaminated"),
+        "_doc.*", F.col("_words").alias(unused(docs, "_n_words")), n_hit.alias(unused(docs, "_n_hit")),
+        F.coalesce(F.col("_fitems"), F.expr("cast(array() as array<string>)")).alias(unused(docs, "_items")), ((n_hit > 0) & (n_hit * share >= F.col("_words"))).alias(unused(docs, "_contaminated")),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return contamination(docs, benchmark, **names).where(~F.col("_contaminated")).select(*docs.columns)
+    return contamination(docs, benchmark, **names).where(~F.col(unused(docs, "_contaminated"))).select(*docs.columns)
