@@ -2,10 +2,11 @@
 
 Validated values (e-mail addresses, IPv4 addresses, IBANs, social security numbers, dates, phone and card numbers) are replaced by
 a keyed permutation within their own format, so that equal values get equal pseudonyms in every document, pseudonyms pass
-the same validation, and the holder of the key can undo them. Texts keep their length except where a date is written without leading zeros.
+the same validation, and the holder of the key can undo them. Texts keep their length, except for addresses of other numbers of digits. A date keeps its order and the
+width of its parts; so equal dates in one form are linked.
 
 Edge cases: null texts stay null; empty texts and texts without a value stay as they are; rows are handled one by one, so repeated rows,
-null ids and other columns do no harm; numbers of 13 to 19 digits that fail the card checksum are permuted as plain digits.
+null ids and other columns do no harm (a column named like one that is added makes that one's name end in underscores); numbers of 13 to 19 digits that fail the card checksum are no card numbers and stay.
 A match that is not valid as its kind is tried with shorter ends, then as the other kinds, and the search goes on one character later.
 """
 
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import unused
+
 ROUNDS = 8
 #: For tests and examples. A real run passes its own secret key.
 EXAMPLE_KEY = b"example key, not a secret"
@@ -168,13 +171,15 @@ def _date(text: str, p: Permutation, back: bool) -> str | None:
     month, day = other if iso or not day_first else (other[1], other[0])
     if not (1900 <= y <= 2099 and 1 <= month <= 12 and 1 <= day <= calendar.monthrange(y, month)[1]):
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + p(datetime.date(y, month, day).toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", back))
-    if iso:
-        return new.isoformat()
-    if not day_first and new.day <= 12:  # month first: the pseudonym must not read as day first
-        return None if back else f"{new.day:02d}{parts[1]}{new.month:02d}{parts[3]}{new.year}"
-    first, second = (new.day, new.month) if day_first else (new.month, new.day)
-    return f"{first:02d}{parts[1]}{second:02d}{parts[3]}{new.year}"
+    n = datetime.date(y, month, day).toordinal() - FIRST_DAY
+    while True:  # walked on until it can be written as this one is
+        n = p(n, LAST_DAY - FIRST_DAY + 1, b"date", back)
+        new = datetime.date.fromordinal(FIRST_DAY + n)
+        if iso:
+            return new.isoformat()
+        first, second = (new.day, new.month) if day_first else (new.month, new.day)
+        if (day_first or new.day > 12) and first < 10 ** len(parts[0]) and second < 10 ** len(parts[2]):  # month first: it must not read as day first
+            return f"{first:0{len(parts[0])}d}{parts[1]}{second:0{len(parts[2])}d}{parts[3]}{new.year}"
 
 
 def pseudonym(kind: str, text: str, p: Permutation, back: bool = False) -> str | None:
@@ -215,14 +220,7 @@ def pseudonym(kind: str, text: str, p: Permutation, back: bool = False) -> str |
     if luhn(digits[:-1]) == int(digits[-1]):
         body = f"{p(int(digits[:-1]), 10**size, b'card%d' % size, back):0{size}d}"
         return _fill(text, body + str(luhn(body)))
-    # not a card number: the pseudonym is none either and begins with none, by walking on
-    n = int(digits)
-    while True:
-        n = p(n, 10 ** len(digits), b"number%d" % len(digits), back)
-        out = f"{n:0{len(digits)}d}"
-        new = _fill(text, out)
-        if luhn(out[:-1]) != int(out[-1]) and _card_ends(new, 0, len(new)) == (0, len(new)):
-            return new
+    return None
 
 
 def replaced(text: str, p: Permutation, back: bool = False) -> tuple[str, dict[str, int]]:
@@ -247,7 +245,7 @@ def replaced(text: str, p: Permutation, back: bool = False) -> tuple[str, dict[s
 
 def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, text: str = "text", back: bool = False) -> DataFrame:
     """docs with the values in the text replaced (or restored), and a column _n_<kind> with the number of values of each kind."""
-    schema = docs.select(F.col("*"), *(F.lit(0).cast("long").alias(f"_n_{k}") for k in KINDS)).schema
+    schema = docs.select(F.col("*"), *(F.lit(0).cast("long").alias(unused(docs, f"_n_{k}")) for k in KINDS)).schema
     quick, at = re.compile("[0-9@]"), docs.columns.index(text)
 
     def run(parts):
