@@ -11,8 +11,7 @@ The fit takes a sample of `docs_per_lang` documents with an excerpt of `excerpt`
 takes about 90 bytes a sampled character (at most 2.6 MB a language by default); one of more than MODEL_BYTES is refused, not broadcast.
 
 Edge cases: a null or empty text or one without a letter is `und` with score 0; ties go to the first language in order;
-rows are handled one by one, so that repeated rows and null ids do no harm; with no labelled row at all, every text is `und`;
-columns of the input that are named like those added are an error.
+rows are handled one by one, so that repeated rows and null ids do no harm; with no labelled row at all, every text is `und`.
 """
 
 import numpy as np
@@ -20,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .codepoints import batches, categories, codes, slices
+from .codepoints import batches, categories, codes, give_up, slices
+from .storage import unused
 
 SEGMENT = 256
 #: The most that is broadcast.
@@ -251,13 +251,14 @@ def fit(docs: DataFrame, docs_per_lang: int = 48, excerpt: int = 600, doc_id: st
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with _lang and _score added."""
+    """docs with _lang and _score added; their names end in underscores where docs has such a column."""
     if model.nbytes > MODEL_BYTES:
         raise ValueError(f"a model of {model.nbytes} bytes is too large to broadcast: fit fewer languages or shorter samples")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score")).schema
+    schema = docs.select("*", F.lit("").alias(unused(docs, "_lang")), F.lit(0.0).alias(unused(docs, "_score"))).schema
 
     def run(parts):
+        give_up()
         m = shared.value
         lookup = m.lookup()
         for batch in parts:
@@ -266,6 +267,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 got, sure = m.predict(texts[a:b], lookup)
                 langs += got
                 scores += sure.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
     return docs.mapInArrow(run, schema)

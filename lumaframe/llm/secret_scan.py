@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import row_key
+from .storage import row_key, unused
 
 #: The base kinds in order with their patterns. For access and hex the minimum length is part of the pattern.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -86,12 +86,12 @@ def scan(docs: DataFrame, scope: int = 400, doc_id: str = "doc_id", text: str =
 
 
 def with_spans(docs: DataFrame, scope: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the column _spans, empty where nothing was found."""
-    found = scan(docs, scope, doc_id, text).withColumnsRenamed({"_id": "_found_id", "_h": "_found_h", "spans": "_found_spans"})
-    keyed = docs.withColumn("_h", row_key(text))
-    joined = keyed.join(found, keyed[doc_id].eqNullSafe(found["_found_id"]) & (keyed["_h"] == found["_found_h"]), "left")
+    """docs with the column _spans, empty where nothing was found; its name ends in underscores where docs has one of that name."""
+    found = scan(docs, scope, doc_id, text).select(F.col("_id").alias("_found_id"), F.col("_h").alias("_found_h"), F.col("spans").alias("_found_spans"))
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_kid"), row_key(text).alias("_kh"))  # as one column, so that no name of docs meets one of found
+    joined = keyed.join(found, F.col("_kid").eqNullSafe(F.col("_found_id")) & (F.col("_kh") == F.col("_found_h")), "left")
     none = F.expr("cast(array() as array<struct<start: bigint, order: int, end: bigint>>)")
-    return joined.withColumn("_spans", F.coalesce(F.col("_found_spans"), none)).select(*(keyed[c] for c in docs.columns), "_spans")
+    return joined.select("_doc.*", F.coalesce(F.col("_found_spans"), none).alias(unused(docs, "_spans")))
 
 
 def spelled(spans: Column) -> Column:
@@ -110,7 +110,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = 400, doc_id: st
         fresh = F.when(gap & ((x["start"] > s["at"]) | (s["at"] == 0)), F.concat(t.substr(s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(mask))).otherwise(F.lit(""))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], fresh).alias("out"))
 
-    done = F.aggregate(F.col("_spans"), start, merge, lambda s: F.concat(s["out"], t.substr(s["at"].cast("int") + 1, F.length(t))))
-    clean = with_spans(docs, scope, doc_id, text).withColumn("_new", F.when(F.size("_spans") > 0, done).otherwise(t))
-    swaps = {text: F.col("_new")} | ({"n_chars": F.when(F.size("_spans") > 0, F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    spans = unused(docs, "_spans")
+    done = F.aggregate(F.col(spans), start, merge, lambda s: F.concat(s["out"], t.substr(s["at"].cast("int") + 1, F.length(t))))
+    fresh = unused(docs, "_new")
+    clean = with_spans(docs, scope, doc_id, text).withColumn(fresh, F.when(F.size(spans) > 0, done).otherwise(t))
+    swaps = {text: F.col(fresh)} | ({"n_chars": F.when(F.size(spans) > 0, F.length(fresh)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return clean.select(*((swaps[c].alias(c) if c in swaps else F.col(c)) for c in docs.columns))
