@@ -31,6 +31,8 @@ from .pretokens import Encoder, distinct, ragged, split
 from .storage import fresh_path
 
 END = 2
+#: Bytes of text that a part is planned for.
+PART_BYTES = 64 << 20
 #: Distinct pieces that a worker keeps encoded, about 40 bytes each; beyond, it starts anew.
 CACHE = 1_500_000
 #: Of those, the latest are kept in a dict and then merged into the sorted arrays.
@@ -132,8 +134,11 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, parts: int |
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "records")
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).repartitionByRange(parts, "_id").sortWithinPartitions("_id", F.xxhash64("_text"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+        parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_h"))
+    rows = rows.repartitionByRange(parts, "_id", "_h").sortWithinPartitions("_id", "_h").select("_id", "_text")  # with the hash, so that rows of one id spread over parts
 
     def run(stream):
         tokens, n, store, name = None, 0, None, ""
