@@ -77,3 +77,40 @@ def test_sample_is_drawn_from_the_whole_table(spark, monkeypatch):
     except Seen as e:
         at = np.arctan2(e.args[0][:, 1], e.args[0][:, 0])
     assert 150 <= len(at) <= 200 and at.max() > 0.95 and abs(at.mean() - 0.5) < 0.1 and abs(at[:50].mean() - 0.5) < 0.2
+
+
+def test_recall_of_true_pairs_near_the_threshold(spark, monkeypatch):
+    """1,500 pairs with cosines from 0.95 to 0.97 and no copies, over some 300 cells: at least nine of ten are found, none below the threshold."""
+    monkeypatch.setattr(multi_index, "PER_CELL", 10)
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    x = unit(rng.normal(size=(1500, 32)))
+    away = rng.normal(size=x.shape)
+    away = unit(away - (away * x).sum(1)[:, None] * x)
+    c = rng.uniform(0.9502, 0.97, 1500)[:, None]
+    both = np.concatenate([x, c * x + np.sqrt(1 - c**2) * away]).astype(np.float32)
+    n, _ = brute(list(range(3000)), [r.tolist() for r in both])
+    assert n.sum() >= 3000
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(both)], "vec_id long, embedding array<float>")
+    out = {r["_id"]: r for r in multi_index.links(nodes).collect()}
+    got = np.array([out[i].n_links for i in range(3000)])
+    assert (got <= n).all() and got.sum() >= 0.9 * n.sum()
+    assert all(out[i].component_id == out[i + 1500].component_id for i in range(1500) if got[i] == n[i] == 1)
+
+
+def test_lengths_and_vectors_of_nothing(spark):
+    """Every length has its own links; single numbers link by their sign; tables of zeros, or without a vector, link nothing."""
+    data = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 3.01]), (5, [1.0, 2.0, -3.0]), (6, [3.0]), (7, [0.5]), (8, [-2.0]), (9, [0.0]), (10, [1e300, 1e300]), (11, [1e-300, 1e-300])]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    out = {r["_id"]: (r.n_links, r.component_id) for r in multi_index.links(rows).collect()}
+    assert out == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (0, 9), 10: (1, 10), 11: (1, 10)}
+    zeros = spark.createDataFrame([(i, [0.0, 0.0, 0.0]) for i in range(50)], "vec_id long, embedding array<float>")
+    assert {(r.n_links, r.component_id == r["_id"]) for r in multi_index.links(zeros).collect()} == {(0, True)}
+    assert multi_index.links(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().n_links == 0
+
+
+def test_a_large_group_of_equal_vectors(spark):
+    """Copies are one node: 20,000 of them cost no pairs, and each has the others as links."""
+    rows = spark.range(20_000).selectExpr("id AS vec_id", "IF(id < 19000, array(1.0D, 2.0D, 3.0D), array(id * 1.0D, -id * 1.0D, 7.0D * pmod(id, 13))) AS embedding")
+    out = {r["_id"]: r for r in multi_index.links(rows).collect()}
+    assert {out[i].n_links for i in range(19_000)} == {18_999} and {out[i].component_id for i in range(19_000)} == {0}
