@@ -18,12 +18,6 @@ def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tu
     return both.where((begin <= end) & (F.floor(begin / cell) == F.col("_cell"))).withColumns({"from": begin, "to": end}).drop("_cell")
 
 
-def overlaps_itself(zones: DataFrame, first: str, last: str) -> DataFrame:
-    """Intervals that begin before an earlier one has ended: empty for a sound list of zones."""
-    before = Window.orderBy(first, last).rowsBetween(Window.unboundedPreceding, -1)
-    return zones.withColumn("_end", F.max(last).over(before)).where(F.col("_end") >= F.col(first)).drop("_end")
-
-
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: dict[str, str]) -> DataFrame:
     """left with, for each new name in value, the right-hand column of the last right row at or before `at` within the group: union and a running last."""
     cols = [c for c in left.columns]
@@ -57,8 +51,25 @@ def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return one(a, b, "left").unionByName(one(b, a, "right"))
 
 
-def candidates(blocks: DataFrame, key: str, px: str, reach: int) -> DataFrame:
-    """Each block with the blocks up to `reach` places away: (key, px, ref, d, ref_px). The offsets are exploded, so the join is an equi-join and linear."""
-    moved = blocks.select(F.col(key).alias("ref"), F.col(px).alias("ref_px"))
-    near = blocks.withColumn("d", F.explode(F.array(*(F.lit(d) for d in range(-reach, reach + 1) if d))))
-    return near.withColumn("ref", F.col(key) + F.col("d")).join(moved, "ref")
+def beside(rows: DataFrame, key: str, value: str, reach: int, span: int = 1000) -> DataFrame:
+    """key, value and near, an array of (d, value) of the rows up to `reach` places away, for rows numbered by a whole key.
+
+    Rows are cut by the key into groups of `span` places, each with a margin of its neighbours' ends, and a window runs over a group: each row is moved once and a few twice,
+    and no sort is longer than a group.
+    """
+    own = rows.select(F.col(key), F.col(value), F.floor(F.col(key) / span).alias("_g"), F.lit(True).alias("_own"))
+    place = F.pmod(F.col(key), F.lit(span))
+    margin = lambda at, step: own.where(at).withColumn("_g", F.col("_g") + step).withColumn("_own", F.lit(False))
+    every = own.unionByName(margin(place < reach, -1)).unionByName(margin(place >= span - reach, 1))
+    near = F.collect_list(F.struct(F.col(key).alias("k"), F.col(value))).over(Window.partitionBy("_g").orderBy(key).rangeBetween(-reach, reach))
+    others = F.transform(F.filter("_near", lambda n: n["k"] != F.col(key)), lambda n: F.struct((n["k"] - F.col(key)).alias("d"), n[value].alias(value)))
+    return every.withColumn("_near", near).where("_own").select(key, value, others.alias("near"))
+
+
+def overlaps_within(zones: DataFrame, first: str, last: str, cell: int) -> DataFrame:
+    """Intervals that overlap one that begins earlier, or begins with them and ends earlier, by cells: no window over all of them."""
+    key = zones.withColumn("_id", F.monotonically_increasing_id())
+    a = key.select(F.col(first).alias("_a0"), F.col(last).alias("_a1"), F.col("_id").alias("_ai"))
+    met = overlap_join(key, a, (first, last), ("_a0", "_a1"), cell)
+    before = (F.col("_a0") < F.col(first)) | ((F.col("_a0") == F.col(first)) & ((F.col("_a1") < F.col(last)) | ((F.col("_a1") == F.col(last)) & (F.col("_ai") < F.col("_id")))))
+    return met.where(before).select(*zones.columns, "_id").dropDuplicates(["_id"]).drop("_id")

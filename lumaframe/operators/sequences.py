@@ -42,12 +42,18 @@ def unwrapped(rows: DataFrame, by: str, order: str, counter: str, modulus: int)
 
 
 def gaussian(rows: DataFrame, by: str, index: str, value: str, sigma: float, weight: Column | None = None) -> DataFrame:
-    """by, index, blurred: a centred window of radius ceil(3 sigma), clipped at the ends. Offsets are exploded on one side, so each row meets only its window."""
+    """by, index, blurred: a centred window of radius ceil(3 sigma), clipped at the ends, as a frame over the sorted rows of a group."""
     radius = int(-(-3 * sigma // 1))
-    x = rows.select(by, index, F.col(value).alias("_v"), (F.lit(1.0) if weight is None else weight).alias("_w"))
-    spread = x.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn("_g", F.exp(-(F.col("_d") * F.col("_d")) / (2.0 * sigma * sigma)) * F.col("_w"))
-    summed = spread.groupBy(F.col(by), (F.col(index) + F.col("_d")).alias(index)).agg((F.sum(F.col("_v") * F.col("_g")) / F.sum("_g")).alias("blurred"))
-    return summed.join(rows.select(by, index), [by, index])
+    x = rows.select(by, index, F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w")).alias("_x"))
+    near = F.collect_list("_x").over(Window.partitionBy(by).orderBy(index).rangeBetween(-radius, radius))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("g"))
+
+    def add(s: Column, n: Column) -> Column:
+        d = (n["i"] - F.col(index)).cast("double")
+        g = F.exp(-(d * d) / (2.0 * sigma * sigma)) * n["w"]
+        return F.struct((s["s"] + n["v"] * g).alias("s"), (s["g"] + g).alias("g"))
+
+    return x.withColumn("_near", near).select(by, index, F.aggregate("_near", zero, add, lambda s: s["s"] / s["g"]).alias("blurred"))
 
 
 def decayed(rows: DataFrame, by: str, order: list[str], value: str, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
+from ..functions import registration
 from ..operators import joins
 from ..tables import table
 from .registry import query
@@ -36,6 +37,13 @@ def _satd(name):
     return " + ".join(_sum(f"list_transform({_rows(_tile(name, y, x), _H4)}, {_ABS})") for y in (0, 4) for x in (0, 4))
 
 
+@query(_PAIRS + f"SELECT vec_id, {_sum(f'list_transform(res, {_ABS})')} AS sad, {_satd('res')} AS satd FROM p")
+def registered_kernels(spark, sf_dir):
+    """The registered functions from SQL text."""
+    registration.register(spark)
+    return spark.sql("SELECT vec_id, luma_sad(a, b) AS sad, luma_satd(a, b) AS satd FROM {p}", p=pairs(spark, sf_dir).select("vec_id", "a", "b"))
+
+
 def blocks(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", B.quantised(F.col("embedding")).alias("px"))
 
@@ -115,12 +123,21 @@ def block_dct_bands(spark, sf_dir):
     return c.select("vec_id", *(F.round(energy(at), 2).alias(k) for k, at in _BANDS.items()))
 
 
-@query(_PAIRS + f"SELECT vec_id, {_sum('list_transform(range(1, 65), lambda i: abs(a[i] - b[57 + (i - 1) % 8]))')} AS cost_v, {_sum('list_transform(range(1, 65), lambda i: abs(a[i] - b[((i - 1) // 8) * 8 + 8]))')} AS cost_h, {_sum(f'list_transform(a, lambda v: abs(v - (({_sum("b")} + 32) >> 6)))')} AS cost_dc FROM p")
+_INTRA = {"v": "b[57 + (i - 1) % 8]", "h": "b[((i - 1) // 8) * 8 + 8]", "dc": "dc"}
+
+
+@query(_PAIRS + f", d AS (SELECT *, ({_sum('b')} + 32) >> 6 AS dc FROM p), r AS (SELECT vec_id, " + ", ".join(f"list_transform(range(1, 65), lambda i: a[i] - {x}) AS {k}" for k, x in _INTRA.items()) + " FROM d) SELECT vec_id, " + ", ".join(f"{_satd(k)} AS cost_{k}" for k in _INTRA) + " FROM r")
 def block_intra_costs(spark, sf_dir):
-    """Prediction from the reference's last row, last column and mean."""
+    """Prediction from the reference's last row, last column and mean, by the transformed difference."""
     p = pairs(spark, sf_dir).withColumn("dc", F.shiftright(B.total(F.col("b")) + 32, 6))
-    cost = lambda pred: B.total(F.transform("a", lambda v, i: F.abs(v - pred(i))))
-    return p.select("vec_id", cost(lambda i: F.get("b", 56 + i % 8)).alias("cost_v"), cost(lambda i: F.get("b", F.floor(i / 8).cast("int") * 8 + 7)).alias("cost_h"), cost(lambda i: F.col("dc")).alias("cost_dc"))
+    pred = {"v": lambda i: F.get("b", 56 + i % 8), "h": lambda i: F.get("b", F.floor(i / 8).cast("int") * 8 + 7), "dc": lambda i: F.col("dc")}
+    res = p.select("vec_id", *(_against(f).alias(k) for k, f in pred.items()))
+    return res.select("vec_id", *(B.satd(F.col(k)).alias(f"cost_{k}") for k in pred))
+
+
+def _against(pred):
+    """The block less a prediction given by place."""
+    return F.transform("a", lambda v, i: v - pred(i))
 
 
 _CAND = f"WITH q AS (SELECT vec_id, {_Q} AS px FROM embeddings), c AS (SELECT a.vec_id, b.vec_id AS ref, b.vec_id - a.vec_id AS d, {_sum('list_transform(list_zip(a.px, b.px), lambda z: abs(z[1] - z[2]))')} AS cost, list_transform(list_zip(a.px, b.px), lambda z: z[1] - z[2]) AS res FROM q a JOIN q b ON b.vec_id BETWEEN a.vec_id - 8 AND a.vec_id + 8 AND b.vec_id <> a.vec_id) "
@@ -129,17 +146,19 @@ _CAND = f"WITH q AS (SELECT vec_id, {_Q} AS px FROM embeddings), c AS (SELECT a.
 @query(_CAND + "SELECT vec_id, d, cost FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost, abs(d), d) AS n FROM c) WHERE n = 1")
 def argmin_motion(spark, sf_dir):
     """Exhaustive search within 8 places; of equal costs the shorter vector, then the lesser."""
-    c = joins.candidates(blocks(spark, sf_dir), "vec_id", "px", 8).select("vec_id", "d", B.sad(F.col("px"), F.col("ref_px")).alias("cost"))
-    best = c.groupBy("vec_id").agg(F.min(F.struct("cost", F.abs("d").alias("len"), "d")).alias("m"))
-    return best.select("vec_id", F.col("m.d").cast("long").alias("d"), F.col("m.cost").alias("cost"))
+    c = joins.beside(blocks(spark, sf_dir), "vec_id", "px", 8).select("vec_id", F.transform("near", lambda n: F.struct(B.sad(F.col("px"), n["px"]).alias("cost"), F.abs(n["d"]).alias("len"), n["d"].alias("d"))).alias("c"))
+    best = c.where("size(c) > 0").select("vec_id", F.array_min("c").alias("m"))
+    return best.select("vec_id", "m.d", "m.cost")
 
 
 @query(_CAND + f", k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost, abs(d), d) AS n FROM c), s AS (SELECT vec_id, d, {_satd('res')} AS satd FROM k WHERE n <= 3) SELECT vec_id, d, satd FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY satd, abs(d), d) AS n FROM s) WHERE n = 1")
 def motion_rerank(spark, sf_dir):
     """The three least by SAD, ranked anew by SATD."""
-    c = joins.candidates(blocks(spark, sf_dir), "vec_id", "px", 8).select("vec_id", F.col("d").cast("long").alias("d"), B.sad(F.col("px"), F.col("ref_px")).alias("cost"), B.residual(F.col("px"), F.col("ref_px")).alias("res"))
-    top = c.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy("cost", F.abs("d"), "d"))).where("n <= 3").select("vec_id", "d", B.satd(F.col("res")).alias("satd"))
-    return top.groupBy("vec_id").agg(F.min(F.struct("satd", F.abs("d").alias("len"), "d")).alias("m")).select("vec_id", F.col("m.d").alias("d"), F.col("m.satd").alias("satd"))
+    c = joins.beside(blocks(spark, sf_dir), "vec_id", "px", 8).where("size(near) > 0")
+    ranked = F.transform("near", lambda n: F.struct(B.sad(F.col("px"), n["px"]).alias("cost"), F.abs(n["d"]).alias("len"), n["d"].alias("d"), B.residual(F.col("px"), n["px"]).alias("res")))
+    top = c.select("vec_id", F.slice(F.array_sort(ranked), 1, 3).alias("top"))
+    best = top.select("vec_id", F.array_min(F.transform("top", lambda t: F.struct(B.satd(t["res"]).alias("satd"), t["len"].alias("len"), t["d"].alias("d")))).alias("m"))
+    return best.select("vec_id", "m.d", "m.satd")
 
 
 @query("SELECT event_id, CAST(CASE WHEN v = 0 THEN 1 ELSE 1 + 2 * length(bin(abs(v))) END AS INTEGER) AS mv_bits, round(pow(2.0, (qp - 12) / 6.0), 6) AS qscale, round(pow((bits + 1) * pow(2.0, (qp - 12) / 6.0), 0.6), 4) AS weight, round(12 + 6 * log2(pow(2.0, (qp - 12) / 6.0)), 6) AS qp_back, round(least(greatest((value - 32.0) / 32.0, 0.0), 1.0), 8) AS dark FROM (SELECT event_id, CAST(floor(value) AS BIGINT) - 60 AS v, CAST(event_id % 52 AS INTEGER) AS qp, CAST(floor(value * 100) AS BIGINT) AS bits, value FROM events)")

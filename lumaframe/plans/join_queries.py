@@ -1,5 +1,6 @@
-"""Join shapes over the driver's tables. Zones are spans of event ids, ten for each nation, derived from the nation key."""
+"""Join shapes over the driver's tables. Zones are spans of event ids, one for each customer, so that they cover the ids at every scale."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -7,12 +8,12 @@ from ..operators import sequences as S
 from ..tables import table
 from .registry import query
 
-_ZONES = "zones AS (SELECT n_nationkey AS zone, 137 * n_nationkey AS first, 137 * n_nationkey + 40 + 13 * (n_nationkey % 9) AS last FROM nation)"
+_ZONES = "zones AS (SELECT c_custkey AS zone, 7 * c_custkey AS first, 7 * c_custkey + 3 + c_custkey % 9 AS last FROM customer)"
 
 
 def zones(spark, sf_dir):
-    k = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").select(k.alias("zone"), (137 * k).alias("first"), (137 * k + 40 + 13 * (k % 9)).alias("last"))
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("zone"), (7 * k).alias("first"), (7 * k + 3 + k % 9).alias("last"))
 
 
 def events(spark, sf_dir):
@@ -25,17 +26,17 @@ def zone_interval_join(spark, sf_dir):
     return j.groupBy("zone").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(f"WITH {_ZONES}, gops AS (SELECT n_nationkey AS gop, 128 * n_nationkey AS a, 128 * n_nationkey + 127 AS b FROM nation) SELECT gop, zone, greatest(a, first) - a AS rel_first, least(b, last) - a AS rel_last FROM gops JOIN zones ON first <= b AND last >= a")
+@query(f"WITH {_ZONES}, gops AS (SELECT c_custkey AS gop, 32 * c_custkey AS a, 32 * c_custkey + 31 AS b FROM customer) SELECT gop, zone, greatest(a, first) - a AS rel_first, least(b, last) - a AS rel_last FROM gops JOIN zones ON first <= b AND last >= a")
 def zone_clip_to_gop(spark, sf_dir):
-    k = F.col("n_nationkey")
-    gops = table(spark, sf_dir, "nation").select(k.alias("gop"), (128 * k).alias("a"), (128 * k + 127).alias("b"))
+    k = F.col("c_custkey")
+    gops = table(spark, sf_dir, "customer").select(k.alias("gop"), (32 * k).alias("a"), (32 * k + 31).alias("b"))
     j = J.overlap_join(gops, zones(spark, sf_dir), ("a", "b"), ("first", "last"), 64)
     return j.select("gop", "zone", (F.col("from") - F.col("a")).alias("rel_first"), (F.col("to") - F.col("a")).alias("rel_last"))
 
 
 @query(f"WITH {_ZONES} SELECT zone, first, last FROM (SELECT *, max(last) OVER (ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM zones) WHERE e >= first")
 def zone_overlap_check(spark, sf_dir):
-    return J.overlaps_itself(zones(spark, sf_dir), "first", "last")
+    return J.overlaps_within(zones(spark, sf_dir), "first", "last", 64)
 
 
 @query("WITH p AS (SELECT user_id, event_id FROM events WHERE event_type = 'purchase'), e AS (SELECT user_id AS u, event_id AS error_id, value AS error_value FROM events WHERE event_type = 'error') SELECT p.user_id, p.event_id, coalesce(e.error_id, -1) AS error_id, coalesce(e.error_value, -1) AS error_value FROM p ASOF LEFT JOIN e ON p.user_id = e.u AND p.event_id >= e.error_id")
@@ -67,14 +68,12 @@ def stats_with_fallback(spark, sf_dir):
 
 @query("SELECT a.event_type AS cls_a, b.event_type AS cls_b, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share_pct, round(avg((a.value - b.value) * (a.value - b.value)), 4) AS mse FROM events a JOIN events b ON b.event_id = a.event_id + 1 GROUP BY a.event_type, b.event_type")
 def class_contingency(spark, sf_dir):
-    from ..operators.aggregates import census
-
     e = events(spark, sf_dir)
     b = e.select((F.col("event_id") - 1).alias("event_id"), F.col("event_type").alias("cls_b"), F.col("value").alias("vb"))
     j = e.select("event_id", F.col("event_type").alias("cls_a"), "value").join(b, "event_id")
-    n = census(j, ["cls_a", "cls_b"])
-    mse = j.groupBy("cls_a", "cls_b").agg(F.round(F.avg((F.col("value") - F.col("vb")) * (F.col("value") - F.col("vb"))), 4).alias("mse"))
-    return n.join(mse, ["cls_a", "cls_b"]).select("cls_a", "cls_b", "n", F.round("share_pct", 6).alias("share_pct"), "mse")
+    d = F.col("value") - F.col("vb")
+    n = j.groupBy("cls_a", "cls_b").agg(F.count("*").alias("n"), F.round(F.avg(d * d), 4).alias("mse"))
+    return n.withColumn("share_pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))  # one row a pair of classes
 
 
 @query("SELECT k AS key, 'left' AS only_in FROM (SELECT DISTINCT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0) UNION ALL SELECT k, 'right' FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0 EXCEPT SELECT o_custkey FROM orders)")
@@ -115,12 +114,17 @@ LEVELS = [
 _LEVEL_SQL = ", ".join(str(x) for x in LEVELS)
 
 
-def level_of(streams, levels, id_col="stream"):
-    """The first level whose bounds on macroblocks a second, frame size, sides, picture buffer and rate hold; a null bound skips its test."""
-    ok = lambda need, limit: F.col(need).isNull() | (F.col(need) <= F.col(limit))
-    side = F.floor(F.sqrt(8.0 * F.col("max_fs")))
-    hits = streams.join(F.broadcast(levels), ok("mbps", "max_mbps") & (F.col("mb_w") * F.col("mb_h") <= F.col("max_fs")) & (F.greatest("mb_w", "mb_h") <= side) & ok("kbps", "max_br") & (F.col("refs") <= F.least(F.floor(F.col("max_dpb") / (F.col("mb_w") * F.col("mb_h"))), F.lit(16))))
-    return hits.groupBy(id_col).agg(F.min("level").alias("level"))
+def level_of(streams, id_col="stream"):
+    """The first level whose bounds on macroblocks a second, frame size, sides, picture buffer and rate hold; a null bound skips its test. The levels are an ordered constant array: neither join nor shuffle."""
+    names = ("level", "mbps", "fs", "dpb", "br", "cpb")
+    levels = F.array(*(F.struct(*(F.lit(v).cast("long").alias(k) for k, v in zip(names, row))) for row in LEVELS))
+    size = F.col("mb_w") * F.col("mb_h")
+
+    def fits(x):
+        within = lambda need, limit: F.col(need).isNull() | (F.col(need) <= x[limit])
+        return within("mbps", "mbps") & (size <= x["fs"]) & (F.greatest("mb_w", "mb_h") <= F.floor(F.sqrt(8.0 * x["fs"]))) & within("kbps", "br") & (F.col("refs") <= F.least(F.floor(x["dpb"] / size), F.lit(16)))
+
+    return streams.select(id_col, F.get(F.filter(levels, fits), F.lit(0))["level"].cast("int").alias("level")).where("level is not null")
 
 
 _STREAMS = "SELECT o_orderkey AS stream, 10 + o_custkey % 120 AS mb_w, 9 + o_custkey % 68 AS mb_h, 1 + o_orderkey % 5 AS refs, CAST(o_totalprice AS BIGINT) % 60000 AS kbps, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (10 + o_custkey % 120) * (9 + o_custkey % 68) * 30 END AS mbps FROM orders"
@@ -128,12 +132,11 @@ _STREAMS = "SELECT o_orderkey AS stream, 10 + o_custkey % 120 AS mb_w, 9 + o_cus
 
 @query(f"WITH s AS ({_STREAMS}), l(level, max_mbps, max_fs, max_dpb, max_br, max_cpb) AS (VALUES {_LEVEL_SQL}) SELECT stream, min(level) AS level FROM s JOIN l ON (mbps IS NULL OR mbps <= max_mbps) AND mb_w * mb_h <= max_fs AND greatest(mb_w, mb_h) <= floor(sqrt(8.0 * max_fs)) AND kbps <= max_br AND refs <= least(max_dpb // (mb_w * mb_h), 16) GROUP BY stream")
 def level_pick(spark, sf_dir):
-    levels = spark.createDataFrame(LEVELS, "level int, max_mbps long, max_fs long, max_dpb long, max_br long, max_cpb long")
     o = table(spark, sf_dir, "orders")
     w, h = 10 + F.col("o_custkey") % 120, 9 + F.col("o_custkey") % 68
     # a half rounds to even in the SQL's cast
     s = o.select(F.col("o_orderkey").alias("stream"), w.alias("mb_w"), h.alias("mb_h"), (1 + F.col("o_orderkey") % 5).alias("refs"), (F.bround("o_totalprice").cast("long") % 60000).alias("kbps"), F.when(F.col("o_orderkey") % 7 != 0, w * h * 30).alias("mbps"))
-    return level_of(s, levels)
+    return level_of(s)
 
 
 @query("WITH x AS (SELECT l_partkey AS id, l_suppkey AS ref, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) SELECT a.id, b.id AS target FROM (SELECT * FROM x WHERE n = 1) a JOIN (SELECT * FROM x WHERE n = 1) b ON a.ref = b.id")

@@ -54,8 +54,9 @@ def counter_unwrap(spark, sf_dir):
 @query(f"WITH {_U} SELECT user_id, event_id, CAST(sum(bits) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS planned, coalesce((SELECT min(p.event_id) FROM u p WHERE p.user_id = u.user_id AND p.event_id > u.event_id AND p.event_type = 'purchase'), -1) AS next_key FROM u")
 def planned_bits_and_next_key(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
+    back = Window.partitionBy("user_id").orderBy(F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that only grows
     key = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return units(spark, sf_dir).select("user_id", "event_id", F.sum("bits").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("planned"), F.coalesce(F.first(key, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(-1)).alias("next_key"))
+    return units(spark, sf_dir).select("user_id", "event_id", F.sum("bits").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("planned"), F.coalesce(F.last(key, ignorenulls=True).over(back), F.lit(-1)).alias("next_key"))
 
 
 @query(f"WITH {_U} SELECT user_id, event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS frame FROM u")
@@ -105,7 +106,7 @@ def shot_table(spark, sf_dir):
     return g.groupBy("user_id", "shot").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.round(F.avg("intra"), 6).alias("icost_mean"), F.round(F.max("intra"), 6).alias("icost_peak"), F.round(F.avg("inter"), 6).alias("pcost_mean"))
 
 
-@query(f"WITH {_COST}, g AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n) AS shot FROM s), t AS (SELECT user_id, shot, count(*) AS len, avg(inter) AS pcost FROM g GROUP BY user_id, shot), o AS (SELECT *, sum(pcost * len) OVER (PARTITION BY user_id) / sum(len) OVER (PARTITION BY user_id) AS title FROM t), f AS (SELECT *, least(greatest(6 * 0.4 * log2(pcost / title), -4), 4) AS own FROM o) SELECT user_id, CAST(shot AS BIGINT) AS shot, round(coalesce(last_value(CASE WHEN len >= 8 OR shot = 0 THEN own END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY shot), 0), 5) AS crf_offset FROM f")
+@query(f"WITH {_COST}, g AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n) AS shot FROM s), t AS (SELECT user_id, shot, count(*) AS len, avg(inter) AS pcost FROM g GROUP BY user_id, shot), o AS (SELECT *, sum(pcost * len) OVER (PARTITION BY user_id) / sum(len) OVER (PARTITION BY user_id) AS title FROM t), f AS (SELECT *, least(greatest(6 * 0.4 * log2(pcost / title), -4), 4) AS own FROM o) SELECT user_id, CAST(shot AS BIGINT) AS shot, round(coalesce(last_value(CASE WHEN len >= 24 OR shot = 0 THEN own END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY shot), 0), 5) AS crf_offset FROM f")
 def shot_crf(spark, sf_dir):
     """6 * (1 - 0.6) * log2 of a shot's cost to the title's, within 4; a short shot takes the offset of the shot before it, which is a carried last value."""
     w = Window.partitionBy("user_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
@@ -114,18 +115,18 @@ def shot_crf(spark, sf_dir):
     whole = Window.partitionBy("user_id")
     own = F.least(F.greatest(6 * 0.4 * F.log2(F.col("pcost") / (F.sum(F.col("pcost") * F.col("len")).over(whole) / F.sum("len").over(whole))), F.lit(-4.0)), F.lit(4.0))
     f = t.withColumn("own", own)
-    kept = F.last(F.when((F.col("len") >= 8) | (F.col("shot") == 0), F.col("own")), ignorenulls=True).over(whole.orderBy("shot").rowsBetween(Window.unboundedPreceding, 0))
+    kept = F.last(F.when((F.col("len") >= 24) | (F.col("shot") == 0), F.col("own")), ignorenulls=True).over(whole.orderBy("shot").rowsBetween(Window.unboundedPreceding, 0))
     return f.select("user_id", "shot", F.round(F.coalesce(kept, F.lit(0.0)), 5).alias("crf_offset"))
 
 
-@query("WITH t AS (SELECT DISTINCT event_id * 100 AS instant FROM events WHERE event_id % 50 = 0), s AS (SELECT event_id * 100 AS a, event_id * 100 + CAST(floor(value * 100) AS BIGINT) AS b, CAST(floor(value * 100) AS BIGINT) AS bits FROM events) SELECT instant, count(*) AS n, CAST(sum(bits) AS BIGINT) AS bits FROM t JOIN s ON a < instant AND b >= instant GROUP BY instant")
+@query("WITH t AS (SELECT DISTINCT event_id * 100 AS instant FROM events), s AS (SELECT event_id * 100 AS a, event_id * 100 + CAST(floor(value * 100) AS BIGINT) AS b, CAST(floor(value * 100) AS BIGINT) AS bits FROM events) SELECT instant, count(*) AS n, CAST(sum(bits) AS BIGINT) AS bits FROM t JOIN s ON a < instant AND b >= instant GROUP BY instant")
 def in_flight(spark, sf_dir):
     """Units under way at each instant: a range join on time, in cells."""
     from ..operators.joins import interval_join
 
     e = units(spark, sf_dir)
     spans = e.select((F.col("event_id") * 100).alias("a"), (F.col("event_id") * 100 + F.col("bits")).alias("b"), "bits")
-    return interval_join(e.where("event_id % 50 = 0").select((F.col("event_id") * 100).alias("instant")).distinct(), spans, "instant", "a", "b", 20_000).where("a < instant").groupBy("instant").agg(F.count("*").alias("n"), F.sum("bits").alias("bits"))
+    return interval_join(e.select((F.col("event_id") * 100).alias("instant")).distinct(), spans, "instant", "a", "b", 20_000).where("a < instant").groupBy("instant").agg(F.count("*").alias("n"), F.sum("bits").alias("bits"))
 
 
 @query(f"WITH {_U}, s AS (SELECT user_id, n, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k, event_type = 'error' AS hit FROM u), c AS (SELECT user_id, k, avg(CASE WHEN hit THEN 1.0 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k) AS precision FROM s) SELECT user_id, max(k) AS depth FROM c WHERE precision >= 0.2 GROUP BY user_id")

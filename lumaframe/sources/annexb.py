@@ -1,8 +1,9 @@
 """H.264 Annex B streams: format("annexb") gives a row for each NAL unit; sequence parameter sets as structs; access units."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.sequences import sessions
 from .y4m import open_input
@@ -20,15 +21,8 @@ def split(data: bytes) -> list[tuple[int, int, int]]:
 
 
 def unescape(nal: bytes) -> bytes:
-    """Without the byte 3 that follows two zeros."""
-    out, zeros = bytearray(), 0
-    for c in nal:
-        if zeros >= 2 and c == 3:
-            zeros = 0
-            continue
-        zeros = zeros + 1 if c == 0 else 0
-        out.append(c)
-    return bytes(out)
+    """Without the byte 3 that follows two zeros: the pieces between such bytes, each with the zeros before it."""
+    return b"\x00\x00".join(nal.split(b"\x00\x00\x03")) if b"\x00\x00\x03" in nal else nal
 
 
 class Bits:
@@ -54,11 +48,54 @@ class Bits:
         return (k + 1) // 2 if k % 2 else -(k // 2)
 
 
+def scaling_list(b: Bits, size: int) -> None:
+    """Steps over a list of weights, coded as differences that end where the next would be 0."""
+    last = following = 8
+    for _ in range(size):
+        if following:
+            following = (last + b.se()) % 256
+        last = following or last
+
+
+def delivery(b: Bits) -> dict:
+    """Buffer parameters: the schedules, and the lengths of the delays in messages."""
+    count, rate, size = b.ue() + 1, b.u(4), b.u(4)
+    schedules = [{"bit_rate": (b.ue() + 1) << (6 + rate), "cpb_size": (b.ue() + 1) << (4 + size), "cbr": bool(b.u(1))} for _ in range(count)]
+    return {"schedules": schedules, "initial_length": b.u(5) + 1, "removal_length": b.u(5) + 1, "output_length": b.u(5) + 1, "offset_length": b.u(5)}
+
+
+def usability(b: Bits) -> dict:
+    """What a sequence says about its display, timing and buffers."""
+    out: dict = {}
+    if b.u(1) and b.u(8) == 255:
+        out["aspect"] = (b.u(16), b.u(16))
+    if b.u(1):
+        b.u(1)
+    if b.u(1):
+        out["full_range"] = bool((b.u(3), b.u(1))[1])
+        if b.u(1):
+            out["colour"] = (b.u(8), b.u(8), b.u(8))
+    if b.u(1):
+        out["chroma_place"] = (b.ue(), b.ue())
+    if b.u(1):
+        out["tick"], out["time_scale"], out["fixed_rate"] = b.u(32), b.u(32), bool(b.u(1))
+    for kind in ("nal", "vcl"):
+        if b.u(1):
+            out[kind] = delivery(b)
+    if "nal" in out or "vcl" in out:
+        out["low_delay"] = bool(b.u(1))
+    out["pic_struct"] = bool(b.u(1))
+    if b.u(1):
+        b.u(1)
+        out["limits"] = [b.ue() for _ in range(6)]
+        out["reorder"], out["buffered"] = out["limits"][4:]
+    return out
+
+
 def parameters(rbsp: bytes) -> dict:
-    """The leading fields of a sequence parameter set (type byte left out)."""
+    """A sequence parameter set (type byte left out)."""
     b = Bits(rbsp)
-    out = {"profile_idc": b.u(8), "constraint_set": b.u(8), "level_idc": b.u(8), "sps_id": b.ue()}
-    out["chroma_format_idc"] = 1
+    out: dict = {"profile_idc": b.u(8), "constraint_set": b.u(8), "level_idc": b.u(8), "sps_id": b.ue(), "chroma_format_idc": 1, "bit_depth": 8}
     # fixed values of the standard: the profiles whose sets carry chroma and depth
     if out["profile_idc"] in (100, 110, 122, 244, 44, 83, 86, 118, 128):
         out["chroma_format_idc"] = b.ue()
@@ -68,21 +105,107 @@ def parameters(rbsp: bytes) -> dict:
         b.ue()
         b.u(1)
         if b.u(1):
-            raise ValueError("scaling matrices are not parsed")
-    out["log2_max_frame_num"] = 4 + b.ue()
-    out["pic_order_cnt_type"] = b.ue()
+            for i in range(12 if out["chroma_format_idc"] == 3 else 8):
+                if b.u(1):
+                    scaling_list(b, 16 if i < 6 else 64)
+    out["log2_max_frame_num"], out["pic_order_cnt_type"] = b.ue() + 4, b.ue()
     if out["pic_order_cnt_type"] == 0:
-        out["log2_max_poc_lsb"] = 4 + b.ue()
+        out["log2_max_poc_lsb"] = b.ue() + 4
     elif out["pic_order_cnt_type"] == 1:
         b.u(1), b.se(), b.se()
         for _ in range(b.ue()):
             b.se()
-    out["max_num_ref_frames"] = b.ue()
+    out["references"] = b.ue()
     b.u(1)
-    out["mb_width"], out["map_height"], out["frame_mbs_only"] = b.ue() + 1, b.ue() + 1, b.u(1)
+    wide, high, out["frames_only"] = b.ue() + 1, b.ue() + 1, bool(b.u(1))
+    if not out["frames_only"]:
+        b.u(1)
+    b.u(1)
+    left, right, top, bottom = (b.ue(), b.ue(), b.ue(), b.ue()) if b.u(1) else (0, 0, 0, 0)
+    step = 1 if out["frames_only"] else 2
+    sx, sy = (2 if out["chroma_format_idc"] in (1, 2) else 1), (2 if out["chroma_format_idc"] == 1 else 1)
+    out["width"], out["height"] = 16 * wide - sx * (left + right), 16 * high * step - sy * step * (top + bottom)
+    out["vui"] = usability(b) if b.u(1) else None
+    return out
+
+
+def slice_header(rbsp: bytes, kind: int, sps: dict) -> dict:
+    """The fields of a slice up to its picture order count."""
+    b = Bits(rbsp[:64])
+    out = {"first_mb": b.ue(), "slice_type": b.ue() % 5, "pps_id": b.ue(), "frame_num": b.u(sps["log2_max_frame_num"]), "idr_pic_id": None, "poc_lsb": None}
+    if not sps["frames_only"] and b.u(1):
+        b.u(1)
+    if kind == 5:
+        out["idr_pic_id"] = b.ue()
+    if sps["pic_order_cnt_type"] == 0:
+        out["poc_lsb"] = b.u(sps["log2_max_poc_lsb"])
     return out
 
 
+def messages(rbsp: bytes, sps: dict | None) -> list[dict]:
+    """The messages of an SEI unit: type, size, and the delays of those of the buffer (0), of timing (1) and of recovery (6)."""
+    out, at, vui = [], 0, (sps or {}).get("vui") or {}
+    while at < len(rbsp) and rbsp[at:] != b"\x80":
+        kind = size = 0
+        while rbsp[at] == 255:
+            kind, at = kind + 255, at + 1
+        kind, at = kind + rbsp[at], at + 1
+        while rbsp[at] == 255:
+            size, at = size + 255, at + 1
+        size, at = size + rbsp[at], at + 1
+        body, row = rbsp[at : at + size], {"type": kind, "size": size, "initial_delay": None, "removal_delay": None, "output_delay": None, "recovery": None}
+        if len(body) != size:
+            raise ValueError("a message is longer than its unit")
+        at += size
+        hrd = vui.get("nal") or vui.get("vcl")
+        if kind == 0 and hrd:
+            b = Bits(body)
+            b.ue()
+            row["initial_delay"] = b.u(hrd["initial_length"])
+        elif kind == 1 and hrd:
+            b = Bits(body)
+            row["removal_delay"], row["output_delay"] = b.u(hrd["removal_length"]), b.u(hrd["output_length"])
+        elif kind == 6:
+            row["recovery"] = Bits(body).ue()
+        out.append(row)
+    return out
+
+
+_SPS = "struct<profile_idc: int, level_idc: int, width: int, height: int, bit_depth: int, `references`: int, tick: bigint, time_scale: bigint, bit_rate: bigint, cpb_size: bigint, cbr: boolean>"
+_SLICE = "struct<first_mb: int, slice_type: int, pps_id: int, frame_num: int, idr_pic_id: int, poc_lsb: int>"
+_SEI = "array<struct<type: int, size: int, initial_delay: bigint, removal_delay: bigint, output_delay: bigint, recovery: int>>"
+
+
+def headers(nals: DataFrame) -> DataFrame:
+    """stream, seq, type and the parsed header of each unit: sps of parameter sets, slice of slices, sei of messages; null for other types.
+
+    A unit is read by the last parameter set before it in its stream, which a window carries forward as bytes; every unit is then parsed by itself.
+    """
+    import pyarrow as pa
+
+    last = F.last(F.when(F.col("type") == 7, F.col("rbsp")), ignorenulls=True).over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    schema = f"stream string, seq int, type int, sps {_SPS}, slice {_SLICE}, sei {_SEI}"
+    wanted = nals.sparkSession.createDataFrame([], schema).schema
+
+    def run(parts):
+        known: dict[bytes, dict] = {}
+        types = to_arrow_schema(wanted)
+        for batch in parts:
+            rows = {"sps": [], "slice": [], "sei": []}
+            for kind, rbsp, set_ in zip(*(batch.column(c).to_pylist() for c in ("type", "rbsp", "_set"))):
+                if set_ is not None and set_ not in known:
+                    known[set_] = parameters(set_)
+                sps = known.get(set_)
+                vui = (sps or {}).get("vui") or {}
+                one = next(iter((vui.get("nal") or vui.get("vcl") or {}).get("schedules", [])), {})
+                rows["sps"].append({**{k: sps[k] for k in ("profile_idc", "level_idc", "width", "height", "bit_depth", "references")}, "tick": vui.get("tick"), "time_scale": vui.get("time_scale"), "bit_rate": one.get("bit_rate"), "cpb_size": one.get("cpb_size"), "cbr": one.get("cbr")} if kind == 7 else None)
+                rows["slice"].append(slice_header(rbsp, kind, sps) if kind in (1, 5) and sps else None)
+                rows["sei"].append(messages(rbsp, sps) if kind == 6 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("stream", "seq", "type")] + [pa.array(rows[c], types.field(c).type) for c in rows], schema=types)
+
+    return nals.withColumn("_set", last).select("stream", "seq", "type", "rbsp", "_set").mapInArrow(run, schema)
+
+
 class Whole(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -1,11 +1,12 @@
-"""Python data sources for raw video: format("y4m") and format("rawyuv"), a row for each frame.
+"""Python data sources for raw video: format("y4m") and format("rawyuv"), a row for each frame, in batch and as a stream; format("y4m") writes, too.
 
 Frames have a fixed size, so that a file is cut into partitions by arithmetic alone and any task reads its own range.
-Headers are read strictly: no default frame rate, unknown chroma tags and truncated files fail.
+Headers are read strictly: a y4m header without a frame rate, unknown chroma tags and truncated files fail. A headerless file has 25 frames a second unless told otherwise.
+Columns that are not asked for are dropped by Spark after the read: a frame is one record and is read whole.
 """
 
 import pyarrow.fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "stream string, frame int, pts bigint, width int, height int, csp string, depth int, fps_num int, fps_den int, y binary, u binary, v binary"
 #: Chroma tags of the format with (name, depth, horizontal and vertical subsampling).
@@ -56,8 +57,23 @@ class Frames(InputPartition):
         self.first, self.last = first, last
 
 
+def cropped(plane: bytes, width: int, height: int, box: tuple[int, int, int, int], wide: int) -> bytes:
+    """The samples of a plane within (left, top, width, height)."""
+    import numpy as np
+
+    x, y, w, h = box
+    return np.frombuffer(plane, "<u2" if wide == 2 else "u1").reshape(height, width)[y : y + h, x : x + w].tobytes()
+
+
+def deepened(plane: bytes) -> bytes:
+    """Samples of 8 bits at 10 bits."""
+    import numpy as np
+
+    return (np.frombuffer(plane, "u1").astype("<u2") << 2).tobytes()
+
+
 class VideoReader(DataSourceReader):
-    """Options: path, and first and frames to read a part of it."""
+    """Options: path, and first and frames to read a part of it; crop (left,top,width,height, whole chroma samples) and depth (10 for a file of 8 bits; fewer bits are refused)."""
 
     def __init__(self, options: dict, raw: bool):
         self.path, self.raw, self.options = options["path"], raw, dict(options)
@@ -77,6 +93,16 @@ class VideoReader(DataSourceReader):
         if (total - self.at) % step:
             raise ValueError("truncated frame")
         count = (total - self.at) // step
+        self.crop = tuple(map(int, options["crop"].split(","))) if "crop" in options else None
+        if self.crop:
+            x, y, w, h = self.crop
+            _, _, sx, sy = CHROMA[next(k for k, v in CHROMA.items() if v[:2] == (self.info["csp"], self.info["depth"]))]
+            if min(x, y) < 0 or min(w, h) < 1 or x + w > self.info["width"] or y + h > self.info["height"] or x % sx or w % sx or y % sy or h % sy:
+                raise ValueError("the crop does not fit the picture and its chroma")
+            self.sub = sx, sy
+        self.deepen = int(options.get("depth", self.info["depth"])) - self.info["depth"]
+        if self.deepen not in (0, 2):
+            raise ValueError(f"samples of {self.info['depth']} bits cannot be read at {options['depth']}")
         self.first = int(options.get("first", 0))
         self.last = min(count, self.first + int(options.get("frames", count)))
 
@@ -93,7 +119,85 @@ class VideoReader(DataSourceReader):
                 y, u, v = f.read(i["luma"]), f.read(i["side"]), f.read(i["side"])
                 for plane in (y, u, v):
                     check_range(plane, i["depth"])
-                yield (self.path, n, n, i["width"], i["height"], i["csp"], i["depth"], i["num"], i["den"], y, u, v)
+                width, height = i["width"], i["height"]
+                if self.crop:
+                    wide, (sx, sy), (left, top, w, h) = 2 if i["depth"] > 8 else 1, self.sub, self.crop
+                    half = (left // sx, top // sy, w // sx, h // sy)
+                    y = cropped(y, width, height, self.crop, wide)
+                    u, v = (cropped(p, -(-width // sx), -(-height // sy), half, wide) for p in (u, v))
+                    width, height = w, h
+                if self.deepen:
+                    y, u, v = map(deepened, (y, u, v))
+                yield (self.path, n, n, width, height, i["csp"], i["depth"] + self.deepen, i["num"], i["den"], y, u, v)
+
+
+class VideoStream(DataSourceStreamReader):
+    """The frames of a file that may still grow by whole frames: an offset is a number of frames. At most `window` frames come at once, so that a reader that falls behind does not load the whole file."""
+
+    def __init__(self, options: dict, raw: bool):
+        self.options, self.raw, self.window, self.given = dict(options), raw, int(options.get("window", 256)), int(options.get("first", 0))
+
+    def _reader(self) -> VideoReader:
+        return VideoReader({k: v for k, v in self.options.items() if k not in ("first", "frames")}, self.raw)
+
+    def initialOffset(self):  # noqa: N802  the interface's names
+        return {"frame": self.given}
+
+    def latestOffset(self):  # noqa: N802
+        self.given = max(self.given, min(self._reader().last, self.given + self.window))
+        return {"frame": self.given}
+
+    def partitions(self, start, end):
+        self.given = max(self.given, end["frame"])
+        return [Frames(i, min(end["frame"], i + FRAMES_PER_TASK)) for i in range(start["frame"], end["frame"], FRAMES_PER_TASK)]
+
+    def read(self, part):
+        yield from self._reader().read(part)
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, trial: str, name: str):
+        self.trial, self.name = trial, name
+
+
+class VideoWriter(DataSourceWriter):
+    """A folder of y4m files in frame order, one for each partition, named by its first frame. A partition's rows must be consecutive frames of one stream; its file gets its name when all are written."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def write(self, rows):
+        import uuid
+
+        store, folder = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+        store.create_dir(folder, recursive=True)
+        trial, out, first, last, shape = f"{folder}/{uuid.uuid4().hex}.trial", None, None, None, None
+        for r in rows:
+            own = (r.stream, r.width, r.height, r.csp, r.depth, r.fps_num, r.fps_den)
+            if out is None:
+                chroma = f"{r.csp}p{r.depth}" if r.depth > 8 else r.csp
+                out, first, shape = store.open_output_stream(trial), r.frame, own
+                out.write(f"YUV4MPEG2 W{r.width} H{r.height} F{r.fps_num}:{r.fps_den} Ip A1:1 C{chroma}\n".encode())
+            elif own != shape or r.frame != last + 1:
+                raise ValueError("the frames of a partition are not consecutive frames of one stream")
+            last = r.frame
+            out.write(b"FRAME\n" + bytes(r.y) + bytes(r.u) + bytes(r.v))
+        if out is None:
+            return Written("", "")
+        out.close()
+        return Written(trial, f"{folder}/frames-{first:09d}.y4m")
+
+    def _each(self, messages, act):
+        store = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pafs.LocalFileSystem()
+        for m in messages:
+            if m is not None and m.trial:
+                act(store, m)
+
+    def commit(self, messages):
+        self._each(messages, lambda store, m: store.move(m.trial, m.name))
+
+    def abort(self, messages):
+        self._each(messages, lambda store, m: store.delete_file(m.trial))
 
 
 class Y4m(DataSource):
@@ -107,6 +211,12 @@ class Y4m(DataSource):
     def reader(self, schema):
         return VideoReader(self.options, raw=False)
 
+    def streamReader(self, schema):  # noqa: N802
+        return VideoStream(self.options, raw=False)
+
+    def writer(self, schema, overwrite):
+        return VideoWriter(self.options)
+
 
 class RawYuv(Y4m):
     """Needs width and height."""
@@ -118,6 +228,12 @@ class RawYuv(Y4m):
     def reader(self, schema):
         return VideoReader(self.options, raw=True)
 
+    def streamReader(self, schema):  # noqa: N802
+        return VideoStream(self.options, raw=True)
+
+    def writer(self, schema, overwrite):
+        raise ValueError("raw video is read only: it has nowhere to keep its size")
+
 
 def register(spark) -> None:
     spark.dataSource.register(Y4m)

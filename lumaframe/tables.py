@@ -2,6 +2,7 @@
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,14 @@ def ship(spark: SparkSession) -> None:
         shutil.rmtree(f"{folder}/all")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the folder that driver and executors share: spark.checkpoint.dir, or on a local master without it a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/lumaframe/{label}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a scale-factor folder; only Spark's reader opens it, so any store works."""
     ship(spark)
