@@ -4,17 +4,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def leaky_bucket(units: DataFrame, by: str, order: list[str], bits: str, size: int, rate: int, start: int | None = None) -> DataFrame:
-    """by, n, underflows, fill_end: f = min(f + rate, size) - bits; below 0 an underflow is counted and f is 0. The first unit does not refill."""
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col(bits).cast("long").alias("_bits"))))
+def leaky_bucket(units: DataFrame, by: str, order: list[str], bits: str, size: int, rate: int, start: int | None = None, span: int = 10_000) -> DataFrame:
+    """by, n, underflows, fill_end: f = min(f + rate, size) - bits; below 0 an underflow is counted and f is 0. The first unit does not refill.
+
+    A stream is cut into pieces of `span` units. What a piece does to the fill is a shift between two bounds, whatever it holds, and such maps are closed under composition: the fills
+    at which pieces begin follow from one map a piece, and then each piece is counted by itself. So no task holds a whole stream.
+    """
     long = lambda v: F.lit(v).cast("long")
-    zero = F.struct(long(size if start is None else start).alias("f"), long(0).alias("under"), long(0).alias("i"))
+    w = Window.partitionBy(by).orderBy(*order)
+    unit = F.struct(F.col("_i").alias("i"), F.col(bits).cast("long").alias("b"))
+    pieces = units.withColumn("_i", F.row_number().over(w) - 1).withColumn("_piece", F.floor(F.col("_i") / span)).groupBy(by, "_piece").agg(F.array_sort(F.collect_list(unit)).alias("_u"))
+    clamp = lambda m, x: F.least(F.greatest(x + m["a"], m["lo"]), m["hi"])
+
+    def compose(m: Column, u: Column) -> Column:
+        one = F.struct((F.when(u["i"] == 0, long(0)).otherwise(long(rate)) - u["b"]).alias("a"), long(0).alias("lo"), F.greatest(long(size) - u["b"], long(0)).alias("hi"))
+        return F.struct((m["a"] + one["a"]).alias("a"), clamp(one, m["lo"]).alias("lo"), clamp(one, m["hi"]).alias("hi"))
+
+    wide = 1 << 60  # further than any sum of bits goes
+    maps = pieces.select(by, "_piece", F.aggregate("_u", F.struct(long(0).alias("a"), long(-wide).alias("lo"), long(wide).alias("hi")), compose).alias("_m"))
+    first = long(size if start is None else start)
+    begin = F.struct(first.alias("f"), F.expr("cast(array() as array<struct<_piece: bigint, _f: bigint>>)").alias("out"))
+    follow = lambda s, m: F.struct(clamp(m["_m"], s["f"]).alias("f"), F.concat(s["out"], F.array(F.struct(m["_piece"].alias("_piece"), s["f"].alias("_f")))).alias("out"))
+    fills = maps.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_piece", "_m"))).alias("_all")).select(by, F.explode(F.aggregate("_all", begin, follow, lambda s: s["out"])).alias("_x")).select(by, "_x.*")
 
     def step(s: Column, u: Column) -> Column:
-        f = F.when(s["i"] == 0, s["f"]).otherwise(F.least(s["f"] + rate, long(size))) - u["_bits"]
-        return F.struct(F.greatest(f, long(0)).alias("f"), (s["under"] + (f < 0).cast("long")).alias("under"), (s["i"] + 1).alias("i"))
+        f = F.when(u["i"] == 0, s["f"]).otherwise(F.least(s["f"] + rate, long(size))) - u["b"]
+        return F.struct(F.greatest(f, long(0)).alias("f"), (s["under"] + (f < 0).cast("long")).alias("under"))
 
-    return units.groupBy(by).agg(F.aggregate(seq, zero, step).alias("s")).select(by, F.col("s.i").alias("n"), F.col("s.under").alias("underflows"), F.col("s.f").alias("fill_end"))
+    done = pieces.join(fills, [by, "_piece"]).select(by, "_piece", F.size("_u").alias("_n"), F.aggregate("_u", F.struct(F.col("_f").alias("f"), long(0).alias("under")), step).alias("_s"))
+    return done.groupBy(by).agg(F.sum("_n").alias("n"), F.sum("_s.under").alias("underflows"), F.max_by("_s.f", "_piece").alias("fill_end"))
 
 
 def arrivals(units: DataFrame, by: str, order: str, earliest: Column, duration: Column) -> DataFrame:
@@ -57,16 +75,20 @@ def gaussian(rows: DataFrame, by: str, index: str, value: str, sigma: float, wei
 
 
 def decayed(rows: DataFrame, by: str, order: list[str], value: str, limit: int) -> DataFrame:
-    """by, total, count of a tally whose sums are halved (shifted) whenever the count reaches the limit."""
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("long").alias("_v"))))
-    zero = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("c"))
-
-    def step(s: Column, u: Column) -> Column:
-        t, c = s["t"] + u["_v"], s["c"] + 1
-        full = c >= limit
-        return F.struct(F.when(full, F.shiftright(t, 1)).otherwise(t).alias("t"), F.when(full, F.shiftright(c, 1)).otherwise(c).alias("c"))
+    """by, total, count of a tally whose sums are halved (shifted) whenever the count reaches the limit.
 
-    return rows.groupBy(by).agg(F.aggregate(seq, zero, step).alias("s")).select(by, F.col("s.t").alias("total"), F.col("s.c").alias("count"))
+    When that is follows from places alone: after the first `limit` rows, then after every limit - limit // 2. So rows are summed between halvings, and only
+    these sums, a row for each halving, are folded in order.
+    """
+    step = limit - limit // 2
+    long = lambda v: F.lit(v).cast("long")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")
+    block = F.when(F.col("_i") <= limit, long(0)).otherwise(F.floor((F.col("_i") - limit - 1) / step) + 1)
+    sums = rows.select(by, F.col(value).cast("long").alias("_v"), place.alias("_i")).withColumn("_block", block).groupBy(by, "_block").agg(F.sum("_v").alias("_s"), F.count("*").alias("_n"))
+    full = lambda x: x["_n"] == F.when(x["_block"] == 0, long(limit)).otherwise(long(step))
+    half = lambda v, x: F.when(full(x), F.shiftright(v, 1)).otherwise(v)
+    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("_block", "_s", "_n"))), F.struct(long(0).alias("t"), long(0).alias("c")), lambda s, x: F.struct(half(s["t"] + x["_s"], x).alias("t"), half(s["c"] + x["_n"], x).alias("c")))
+    return sums.groupBy(by).agg(fold.alias("_f")).select(by, F.col("_f.t").alias("total"), F.col("_f.c").alias("count"))
 
 
 def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

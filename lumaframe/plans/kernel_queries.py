@@ -306,3 +306,36 @@ def variance_offsets(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", B.quantised(F.col("embedding")).alias("px")).select("vec_id", "label", F.log2(var + 2).alias("l"))
     mean = v.groupBy("label").agg(F.avg("l").alias("mean"))
     return v.join(mean, "label").select("vec_id", F.round(0.4 * (F.col("l") - 4.5), 6).alias("qp_offset"), F.round(0.4 * (F.col("l") - F.col("mean")), 6).alias("around_frame"))
+
+
+_MID = [(y, x) for y in (2, 3, 4) for x in (2, 3, 4)]
+_ROW = lambda y, x: T.six_tap([T.Sql(f"px[{8 * y + x - 2 + k + 1}]") for k in range(6)])
+_CENTRE = [_CLIP(f"CAST(floor(({T.six_tap([_ROW(y - 2 + k, x) for k in range(6)])} + 512) / 1024.0) AS BIGINT)") for y, x in _MID if y - 2 >= 0 and y + 3 <= 7]
+_HALFROW = [_CLIP(f"CAST(floor(({_ROW(y, x)} + 16) / 32.0) AS BIGINT)") for y, x in _MID]
+
+
+@query(f"{_P} SELECT vec_id, {_TEXT('[' + ', '.join(_CENTRE) + ']')} AS centre, {_TEXT('[' + ', '.join(_AVG(_G(y, x), h) for (y, x), h in zip(_MID, _HALFROW)) + ']')} AS quarter, {_TEXT('[' + ', '.join(_AVG(h, c) for h, c in zip(_HALFROW, _CENTRE)) + ']')} AS lower FROM q")
+def block_quarter_samples(spark, sf_dir):
+    """Where all samples of the filters lie in the block: the half sample between four others, from unrounded rows; a quarter between a sample and the half beside it; a quarter between that half and the centre."""
+    row = lambda y, x: T.six_tap([_at("px", y, x - 2 + k) for k in range(6)])
+    clip = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(255))
+    half = {p: clip(F.shiftright(row(*p) + 16, 5)) for p in _MID}
+    centre = {(y, x): clip(F.shiftright(T.six_tap([row(y - 2 + k, x) for k in range(6)]) + 512, 10)) for y, x in _MID}
+    q = samples(spark, sf_dir).select("vec_id", "px", F.array(*half.values()).alias("h"), F.array(*centre.values()).alias("c"))
+    avg = lambda a, b: F.shiftright(a + b + 1, 1)
+    quarter = F.array(*(avg(_at("px", y, x), F.get("h", i)) for i, (y, x) in enumerate(_MID)))
+    return q.select("vec_id", _text(F.col("c")).alias("centre"), _text(quarter).alias("quarter"), _text(F.zip_with("h", "c", avg)).alias("lower"))
+
+
+_TOP, _LEFT, _CORNER = [f"b[{57 + i}]" for i in range(8)], [f"b[{8 * i + 8}]" for i in range(8)], "b[1]"
+_GRAD = lambda e: " + ".join(f"{k + 1} * ({e[4 + k]} - {e[2 - k] if k < 3 else _CORNER})" for k in range(4))
+
+
+@query(_PAIRS + f", g AS (SELECT vec_id, a, 16 * ({_LEFT[7]} + {_TOP[7]}) AS base, CAST(floor((34 * ({_GRAD(_TOP)}) + 32) / 64.0) AS BIGINT) AS gx, CAST(floor((34 * ({_GRAD(_LEFT)}) + 32) / 64.0) AS BIGINT) AS gy FROM p), r AS (SELECT vec_id, gx, gy, [" + ", ".join(f"a[{8 * y + x + 1}] - least(greatest(CAST(floor((base + gx * {x - 3} + gy * {y - 3} + 16) / 32.0) AS BIGINT), -128), 127)" for y in range(8) for x in range(8)) + f"] AS res FROM g) SELECT vec_id, gx, gy, {_satd('res')} AS cost FROM r")
+def block_plane_prediction(spark, sf_dir):
+    """The plane through the edges of an 8x8 block, and what is left of the block."""
+    top, left = [F.get("b", 56 + i) for i in range(8)], [F.get("b", 8 * i + 7) for i in range(8)]
+    slope = lambda e: F.shiftright(34 * sum(((k + 1) * (e[4 + k] - (e[2 - k] if k < 3 else F.get("b", F.lit(0)))) for k in range(4)), F.lit(0)) + 32, 6)
+    g = pairs(spark, sf_dir).select("vec_id", "a", (16 * (left[7] + top[7])).alias("base"), slope(top).alias("gx"), slope(left).alias("gy"))
+    pred = lambda i: F.least(F.greatest(F.shiftright(F.col("base") + F.col("gx") * (i % 8 - 3) + F.col("gy") * (F.floor(i / 8).cast("int") - 3) + 16, 5), F.lit(-128)), F.lit(127))
+    return g.select("vec_id", "gx", "gy", F.transform("a", lambda v, i: v - pred(i)).alias("res")).select("vec_id", F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), B.satd(F.col("res")).alias("cost"))

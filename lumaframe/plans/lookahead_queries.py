@@ -113,3 +113,19 @@ def picture_order(spark, sf_dir):
     """Picture order counts from their low bits: the high part follows the last reference picture, which depends on the data and is a fold."""
     f = frames(spark, sf_dir).select("user_id", "n", (F.col("event_id") % 16).alias("lsb"), (F.col("event_id") % 3 != 0).alias("ref"))
     return S.picture_order(f, "user_id", "n", "lsb", "ref", 16)
+
+
+@query(f"WITH RECURSIVE {_U}, m AS (SELECT user_id, n, CAST(bits AS DOUBLE) AS model, CAST(0 AS DOUBLE) AS owed FROM u WHERE n = 1 UNION ALL SELECT u.user_id, u.n, model + 0.125 * (u.bits - model), least(greatest(owed + u.bits - 2000, owed - 500), owed + 500) FROM m JOIN u ON u.user_id = m.user_id AND u.n = m.n + 1) SELECT user_id, n, round(model, 4) AS model, round(owed, 4) AS owed FROM m")
+def rate_ledger(spark, sf_dir):
+    """A model of the bits that follows a stream by an eighth, and what is owed to the target, which moves by no more than 500 a frame: a fold along the stream."""
+    seq = F.array_sort(F.collect_list(F.struct("n", F.col("bits").cast("double").alias("b"))))
+    zero = F.struct(F.lit(0.0).alias("model"), F.lit(0.0).alias("owed"), F.expr("cast(array() as array<struct<n: bigint, model: double, owed: double>>)").alias("out"))
+
+    def step(s, u):
+        begins = F.size(s["out"]) == 0
+        model = F.when(begins, u["b"]).otherwise(s["model"] + 0.125 * (u["b"] - s["model"]))
+        owed = F.when(begins, F.lit(0.0)).otherwise(F.least(F.greatest(s["owed"] + u["b"] - 2000, s["owed"] - 500), s["owed"] + 500))
+        return F.struct(model.alias("model"), owed.alias("owed"), F.concat(s["out"], F.array(F.struct(u["n"].alias("n"), model.alias("model"), owed.alias("owed")))).alias("out"))
+
+    x = frames(spark, sf_dir).groupBy("user_id").agg(F.aggregate(seq, zero, step, lambda s: s["out"]).alias("x")).select("user_id", F.explode("x").alias("x"))
+    return x.select("user_id", "x.n", F.round("x.model", 4).alias("model"), F.round("x.owed", 4).alias("owed"))

@@ -311,3 +311,38 @@ def replay_invariants(spark, sf_dir):
     """What must hold for every step of a replayed run, and a checksum that does not depend on the order of the rows."""
     r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell"), F.floor(F.col("l_extendedprice") * 100).alias("bits"), F.floor("l_quantity").alias("qp"))
     return r.agg(F.count("*").alias("steps"), F.count_if(~F.col("qp").between(0, 51)).alias("qp_out"), F.count_if(F.col("bits") <= 0).alias("no_bits"), F.countDistinct("cell").alias("cells"), F.bit_xor(F.col("bits") * 31 + F.col("qp")).alias("checksum"))
+
+
+@query("WITH r AS (SELECT o_custkey AS cell, o_orderpriority AS build, o_orderstatus AS side, o_orderkey AS record, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders), a AS (SELECT cell, build, arg_min(record, record) AS record, arg_min(bytes, record) AS bytes FROM r WHERE side = 'F' GROUP BY cell, build), b AS (SELECT cell, build, record, bytes FROM r WHERE side = 'O') SELECT a.cell, a.build, a.record AS anchor, arg_min(b.record, (abs(b.bytes - a.bytes), b.record)) AS ours, min(abs(b.bytes - a.bytes)) AS apart FROM a JOIN b USING (cell, build) GROUP BY a.cell, a.build, a.record")
+def point_on_its_bytes(spark, sf_dir):
+    """An anchor's point and, of the same cell and build, the point of ours that is nearest to it in bytes."""
+    r = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cell"), F.col("o_orderpriority").alias("build"), "o_orderstatus", F.col("o_orderkey").alias("record"), F.floor("o_totalprice").alias("bytes"))
+    a = r.where("o_orderstatus = 'F'").groupBy("cell", "build").agg(F.min(F.struct("record", "bytes")).alias("a"))
+    b = r.where("o_orderstatus = 'O'").select("cell", "build", "record", "bytes")
+    near = a.join(b, ["cell", "build"]).groupBy("cell", "build", "a").agg(F.min(F.struct(F.abs(F.col("bytes") - F.col("a.bytes")).alias("apart"), "record")).alias("m"))
+    return near.select("cell", "build", F.col("a.record").alias("anchor"), F.col("m.record").alias("ours"), "m.apart")
+
+
+@query("WITH c AS (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS p), q AS (SELECT p, (SELECT quantile_cont(value, [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) FROM events)[CAST(round(p * 20) AS INTEGER)] AS cut FROM c), s AS (SELECT cut, count(*) FILTER (WHERE value <= cut) AS l, count(*) FILTER (WHERE value <= cut AND event_type = 'error') AS le, count(*) FILTER (WHERE value > cut) AS r, count(*) FILTER (WHERE value > cut AND event_type = 'error') AS re FROM q, events GROUP BY cut) SELECT round(cut, 6) AS cut, l, r, round((l * (1 - pow(CAST(le AS DOUBLE) / l, 2) - pow(1 - CAST(le AS DOUBLE) / l, 2)) + r * (1 - pow(CAST(re AS DOUBLE) / r, 2) - pow(1 - CAST(re AS DOUBLE) / r, 2))) / (l + r), 8) AS impurity FROM s WHERE l > 0 AND r > 0")
+def gini_cuts(spark, sf_dir):
+    """The impurity of a split at each of nineteen quantiles, the step that a decision tree repeats: one pass counts between the cuts, running sums give both sides. The cuts are nineteen numbers."""
+    e = events(spark, sf_dir).select("value", (F.col("event_type") == "error").cast("long").alias("hit"))
+    cuts = e.agg(F.percentile("value", F.array(*(F.lit(k / 20) for k in range(1, 20)))).alias("q")).first().q or []
+    at = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("value"))) if cuts else F.lit(0)
+    n = e.groupBy(at.alias("k")).agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    every = F.struct(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    sides = n.agg(F.collect_list(F.struct("k", "n", "h")).alias("x"), every.alias("all"))  # twenty rows at most
+    one = sides.select("x", "all", F.posexplode(F.array(*(F.lit(c) for c in cuts))).alias("i", "cut")) if cuts else sides.select("x", "all", F.lit(0).alias("i"), F.lit(0.0).alias("cut")).where("false")
+    left = lambda c: F.aggregate(F.filter("x", lambda v: v["k"] <= F.col("i")), F.lit(0).cast("long"), lambda s, v: s + v[c])
+    s = one.select("cut", left("n").alias("l"), left("h").alias("le"), "all").select("cut", "l", "le", (F.col("all.n") - F.col("l")).alias("r"), (F.col("all.h") - F.col("le")).alias("re")).where("l > 0 and r > 0").distinct()
+    gini = lambda n, h: F.col(n) * (1 - F.pow(F.col(h) / F.col(n), F.lit(2)) - F.pow(1 - F.col(h) / F.col(n), F.lit(2)))
+    return s.select(F.round("cut", 6).alias("cut"), "l", "r", F.round((gini("l", "le") + gini("r", "re")) / (F.col("l") + F.col("r")), 8).alias("impurity"))
+
+
+@query("SELECT 's' || CAST(s AS VARCHAR) AS seed, cell, opt FROM (SELECT s, n_name AS cell, opt, row_number() OVER (PARTITION BY s, n_name ORDER BY md5(concat(CAST(s AS VARCHAR), ':', n_name, ':', opt))) AS k FROM nation, (SELECT unnest([1, 2, 3]) AS s), (SELECT unnest(['aq', 'cabac', 'tr8', 'ref', 'bframes', 'trellis']) AS opt)) WHERE k <= 2")
+def seeded_matrix(spark, sf_dir):
+    """A regression matrix: for each seed and cell two options, drawn by a digest that any later run repeats."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("cell"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("s"))
+    m = n.withColumn("opt", F.explode(F.array(*map(F.lit, ("aq", "cabac", "tr8", "ref", "bframes", "trellis")))))
+    key = F.md5(F.concat_ws(":", F.col("s").cast("string"), "cell", "opt"))
+    return m.withColumn("k", F.row_number().over(Window.partitionBy("s", "cell").orderBy(key))).where("k <= 2").select(F.concat(F.lit("s"), F.col("s").cast("string")).alias("seed"), "cell", "opt")

@@ -54,6 +54,30 @@ def cut_stream(frames: DataFrame, by: str, order: str, ratio: str) -> DataFrame:
     return frames.groupBy(by).applyInPandasWithState(run, "key long, at long, cut boolean", "held array<double>, wait_at long, wait_cut boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def shot_stream(frames: DataFrame, by: str, order: str, cut: str, value: str) -> DataFrame:
+    """key, shot, first, last, mean of the frames with decisions: a shot comes out when the next one begins. A row without a decision, behind the last frame, finishes a stream."""
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        shot, first, last, n, total = state.get if state.exists else (0, -1, -1, 0, 0.0)
+        rows = []
+        pdf = pd.concat(list(parts)).sort_values(order)
+        for at, c, v in zip(pdf[order], pdf[cut], pdf[value]):
+            if n and (pd.isna(c) or c):
+                rows.append((key[0], shot, first, last, total / n))
+                shot, n, total = shot + 1, 0, 0.0
+            if pd.isna(c):
+                shot, first, last, n, total = 0, -1, -1, 0, 0.0
+                continue
+            first, last, n, total = int(at) if not n else first, int(at), n + 1, total + float(v)
+        if n:
+            state.update((shot, first, last, n, total))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["key", "shot", "first", "last", "mean"])
+
+    return frames.groupBy(by).applyInPandasWithState(run, "key long, shot long, first long, last long, mean double", "shot long, first long, last long, n long, total double", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_census(events: DataFrame, ts: str, by: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """An extension: counts in tumbling windows, with a watermark for late rows."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")

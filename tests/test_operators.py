@@ -211,8 +211,8 @@ def test_bucket_golden_and_partition_invariance(spark):
     rng = random.Random(2)
     many = spark.createDataFrame([(rng.randrange(5), i, rng.randrange(300)) for i in range(500)], "k int, i int, bits int")
     want = None
-    for n in (1, 4, 64):
-        got = sorted(map(tuple, sequences.leaky_bucket(many.repartition(n), "k", ["i"], "bits", 300, 100).collect()))
+    for n, span in ((1, 10_000), (4, 7), (64, 1)):
+        got = sorted(map(tuple, sequences.leaky_bucket(many.repartition(n), "k", ["i"], "bits", 300, 100, span=span).collect()))
         want = want or got
         assert got == want
 
@@ -255,6 +255,28 @@ def test_ended_cut_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("SELECT * FROM ended").collect())) == want
 
 
+def test_shot_stream_equals_batch_for_any_cut(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, i, rng.random() < 0.2, float(rng.randrange(9))) for i in range(40) for k in range(3)]
+    want = []
+    for k in range(3):
+        shots = []
+        for _, i, c, v in (r for r in rows if r[0] == k):
+            if c or not shots:
+                shots.append([])
+            shots[-1].append((i, v))
+        want += [(k, j, s[0][0], s[-1][0], sum(v for _, v in s) / len(s)) for j, s in enumerate(shots)]
+    rows += [(k, 40, None, None) for k in range(3)]
+    for cuts in (1, 4):
+        src = tmp_path / f"in{cuts}"
+        for c in range(cuts):
+            spark.createDataFrame(rows[c * 123 // cuts : (c + 1) * 123 // cuts], "k long, i long, cut boolean, v double").coalesce(1).write.mode("append").parquet(str(src))
+        files = spark.readStream.schema("k long, i long, cut boolean, v double").option("maxFilesPerTrigger", 1).parquet(str(src))
+        q = scans.shot_stream(files, "k", "i", "cut", "v").writeStream.format("memory").queryName(f"shots{cuts}").outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        assert sorted(map(tuple, spark.sql(f"SELECT * FROM shots{cuts}").collect())) == sorted(want)
+
+
 def test_bd_rate():
     ref = [(1000, 80), (2000, 86), (4000, 91), (8000, 95)]
     assert curves.bd_rate(ref, [(r * 0.9, s) for r, s in ref]) == pytest.approx(-10)
