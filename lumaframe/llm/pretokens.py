@@ -5,7 +5,6 @@ words: 's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+ over text
 bytes: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+ over the text as it is.
 """
 
-import re
 import unicodedata
 from functools import cached_property, lru_cache
 
@@ -69,16 +68,9 @@ def distinct(cp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 
 @lru_cache(1)
-def unknown() -> re.Pattern:
-    """A character that has no category yet."""
-    spans, start = [], None
-    for cp in range(0x110001):
-        if cp < 0x110000 and unicodedata.category(chr(cp)) == "Cn":
-            start = cp if start is None else start
-        elif start is not None:
-            spans.append(f"\\U{start:08x}-\\U{cp - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(spans)}]")
+def unknown() -> np.ndarray:
+    """Of each code point, whether it has no category yet."""
+    return np.array([unicodedata.category(chr(cp)) == "Cn" for cp in range(0x110000)])
 
 
 class Encoder:
@@ -104,7 +96,7 @@ class Encoder:
 
     def special(self, text: str) -> bool:
         """Texts with the string of an added token are encoded whole, as are those with a code point that Python's tables do not know: the tokenizer's may be newer."""
-        return any(t in text for t in self.added) or (not text.isascii() and unknown().search(text) is not None)
+        return any(t in text for t in self.added) or (not text.isascii() and bool(unknown()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any()))
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for x in range(0, len(pieces), 2000) for e in self.pieces.encode_batch_fast(pieces[x : x + 2000], add_special_tokens=False)]

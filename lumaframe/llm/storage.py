@@ -1,10 +1,13 @@
 """Tables written to the folder that driver and executors share, to cut lineage."""
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables written between two sweeps.
+SWEEP = 6
 #: Used only by a local master whose session names no folder, as in tests: its executors are threads of the driver's machine.
 LOCAL = "file:///tmp/checkpoints"
 
@@ -26,6 +29,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lumaframe/{label}-{uuid.uuid4().hex}"
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets go of what finished steps have left. Spark deletes the shuffle files of a query once the driver has collected its plan as garbage, which may take long by itself; nothing that is still in use is touched."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """df, computed once, written as Parquet to the shared folder and read back: later reads survive lost executors.
 
@@ -34,6 +43,10 @@ def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     (df.hint("rebalance") if few else df).write.parquet(path)
+    context = spark.sparkContext
+    context._lumaframe_written = getattr(context, "_lumaframe_written", 0) + 1
+    if context._lumaframe_written % SWEEP == 0:
+        sweep(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
