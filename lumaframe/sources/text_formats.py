@@ -60,10 +60,11 @@ def pass_stats(spark: SparkSession, path: str, most: float = 1e15) -> DataFrame:
     body = raw.withColumn("_s", F.last(opened, ignorenulls=True).over(whole)).where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumn("gop", F.coalesce("_s.gop", F.lit(0)))
     section = Window.partitionBy("file", "gop")
     body = body.withColumn("idx", F.row_number().over(section.orderBy("n")) - 1).withColumn("_n", F.count("*").over(section))
-    f = F.split(F.trim("line"), r"\s+")
+    parts = F.split(F.trim("line"), r"\s+")
+    f = [F.get(parts, F.lit(i)) for i in range(5)]
     fits = lambda i: f[i].try_cast("double").between(0.0, most)  # noqa: E731  refuses NaN and infinities too
-    ok = F.size(f).between(4, 5) & f[0].rlike("^[0-2]$") & f[3].rlike(r"^\d+$") & f[3].try_cast("int").between(0, 51) & fits(1) & fits(2) & F.coalesce(F.get(f, F.lit(4)).rlike(r"^-?\d+$"), F.lit(True)) & F.coalesce(F.col("_s.records") == F.col("_n"), F.lit(True))
-    return body.select("file", "gop", "idx", strict(F.coalesce(ok, F.lit(False)), f[0], "stats").cast("int").alias("type"), f[1].cast("double").alias("cplx"), f[2].cast("double").alias("bits"), f[3].cast("int").alias("qp"), F.get(f, F.lit(4)).cast("int").alias("is_ref"))
+    ok = F.size(parts).between(4, 5) & f[0].rlike("^[0-2]$") & f[3].rlike(r"^\d+$") & f[3].try_cast("int").between(0, 51) & fits(1) & fits(2) & F.coalesce(f[4].rlike(r"^-?\d+$"), F.lit(True)) & F.coalesce(F.col("_s.records") == F.col("_n"), F.lit(True))
+    return body.select("file", "gop", "idx", strict(F.coalesce(ok, F.lit(False)), f[0], "stats").cast("int").alias("type"), f[1].cast("double").alias("cplx"), f[2].cast("double").alias("bits"), f[3].cast("int").alias("qp"), f[4].cast("int").alias("is_ref"))
 
 
 def frame_stats(spark: SparkSession, path: str) -> DataFrame:

@@ -135,13 +135,14 @@ class VideoStream(DataSourceStreamReader):
     """The frames of a file that may still grow by whole frames: an offset is a number of frames. At most `window` frames come at once, so that a reader that falls behind does not load the whole file."""
 
     def __init__(self, options: dict, raw: bool):
-        self.options, self.raw, self.window, self.given = dict(options), raw, int(options.get("window", 256)), int(options.get("first", 0))
+        self.options, self.raw, self.window, self.start = dict(options), raw, int(options.get("window", 256)), int(options.get("first", 0))
+        self.given = self.start
 
     def _reader(self) -> VideoReader:
         return VideoReader({k: v for k, v in self.options.items() if k not in ("first", "frames")}, self.raw)
 
     def initialOffset(self):  # noqa: N802  the interface's names
-        return {"frame": self.given}
+        return {"frame": self.start}
 
     def latestOffset(self):  # noqa: N802
         self.given = max(self.given, min(self._reader().last, self.given + self.window))

@@ -58,14 +58,14 @@ def test_raw_yuv(spark, tmp_path):
     assert len(rows) == 4 and bytes(rows[3].u) == bytes(range(64, 80))
 
 
-def exp_golomb(values):
-    s = "".join("0" * (len(bin(v + 1)) - 3) + bin(v + 1)[2:] for v in values)
+def exp_golomb(values, tail=""):
+    s = "".join("0" * (len(bin(v + 1)) - 3) + bin(v + 1)[2:] for v in values) + tail
     return int((s + "1").ljust(-(-(len(s) + 1) // 8) * 8, "0"), 2).to_bytes(-(-(len(s) + 1) // 8))
 
 
 def test_annexb_units_and_access_units(spark, tmp_path):
     annexb.register(spark)
-    sps = bytes([0x67, 66, 0, 30]) + exp_golomb([0, 0, 0, 2, 1, 0, 9, 8, 0, 0])
+    sps = bytes([0x67, 66, 0, 30]) + exp_golomb([0, 0, 0, 2, 1, 0, 9, 8, 0, 0], "00")
     picture = lambda first: bytes([0x65]) + exp_golomb([first, 7, 0])
     units = [sps, b"\x68\xce\x00\x00\x03\x01", picture(0), picture(5), picture(0), b"\x06\x05", picture(0), picture(9), b"\x0c\xff"]
     codes = [b"\x00\x00\x00\x01" if i % 2 == 0 else b"\x00\x00\x01" for i in range(len(units))]
@@ -172,7 +172,7 @@ def test_video_is_cropped_deepened_written_and_streamed(spark, tmp_path):
 def test_headers_and_units(spark, tmp_path):
     """A parameter set with scaling lists, cropping and timing is read whole; a byte stream is split by the registered table function."""
     bits = lambda fields: "".join(f"{v:0{n}b}" if n else "0" * ((v + 1).bit_length() - 1) + f"{v + 1:b}" for v, n in fields)
-    lists = [(1, 1), (15, 0), (0, 1), *[(0, 1)] * 6]  # the first list ends at once: 8 + (-8) is 0
+    lists = [(1, 1), (16, 0), (0, 1), *[(0, 1)] * 6]  # the first list ends at once: 8 + (-8) is 0
     fields = [(100, 8), (0, 8), (41, 8), (0, 0), (1, 0), (2, 0), (2, 0), (0, 1), (1, 1), *lists, (0, 0), (2, 0), (4, 0), (0, 1), (119, 0), (67, 0), (1, 1), (1, 1), (1, 1), (0, 0), (0, 0), (0, 0), (4, 0), (0, 1)]
     s = bits(fields) + "1"
     rbsp = int(s.ljust(-(-len(s) // 8) * 8, "0"), 2).to_bytes(-(-len(s) // 8))
