@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting to delete the shuffle files of a query at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables written between two sweeps.
 SWEEP = 6
 #: Used only by a local master whose session names no folder, as in tests: its executors are threads of the driver's machine.
@@ -42,7 +44,14 @@ def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    (df.hint("rebalance") if few else df).write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    if before is not None:
+        spark.conf.set(CLEAN, "true")  # what is written needs its shuffle files no more; they may be many times its size
+    try:
+        (df.hint("rebalance") if few else df).write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEAN, before)
     context = spark.sparkContext
     context._lumaframe_written = getattr(context, "_lumaframe_written", 0) + 1
     if context._lumaframe_written % SWEEP == 0:
