@@ -29,7 +29,7 @@ from .storage import row_key, written
 #: Words that may be broadcast: about 40 bytes each.
 FREQUENT = 1_200_000
 #: Distinct words that a task holds before it passes them on.
-HELD = 250_000
+HELD = 400_000
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
