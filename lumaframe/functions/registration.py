@@ -47,5 +47,5 @@ def register(spark: SparkSession) -> None:
     ship(spark)  # first: a registered function keeps the list of files of that moment
     spark.udf.register("luma_sad", F.pandas_udf(_sad, "long"))
     spark.udf.register("luma_satd", F.pandas_udf(_satd, "long"))
-    spark.udf.register("robust_sigma", F.pandas_udf(_robust, "double", functionType=F.PandasUDFType.GROUPED_AGG))
+    spark.udf.register("robust_sigma", F.pandas_udf(_robust, "double"))
     spark.udtf.register("split_nals", F.udtf(Units, returnType="seq int, type int, size int"))

@@ -194,7 +194,7 @@ def frame_complexity(spark, sf_dir):
 
 
 _LAP = " + ".join(f"abs(4 * {_G(y, x)} - {_G(y - 1, x)} - {_G(y + 1, x)} - {_G(y, x - 1)} - {_G(y, x + 1)})" for y in range(1, 7) for x in range(1, 7))
-_READ = "r AS (SELECT label, bin, sum(count(*)) OVER (PARTITION BY label ORDER BY bin) AS run, sum(count(*)) OVER (PARTITION BY label) AS n FROM b WHERE mean BETWEEN 24 AND 232 GROUP BY label, bin), f AS (SELECT label, min(bin) AS bin, any_value(n) AS n FROM r WHERE run > n // 4 GROUP BY label), w AS (SELECT label, count(*) AS blocks FROM b GROUP BY label) SELECT label, blocks, coalesce(n, 0) AS n, "
+_READ = "r AS (SELECT label, bin, sum(count(*)) OVER (PARTITION BY label ORDER BY bin) AS run, sum(count(*)) OVER (PARTITION BY label) AS n FROM b WHERE mean BETWEEN 24 AND 232 GROUP BY label, bin), f AS (SELECT label, min(bin) AS bin, any_value(n) AS n FROM r WHERE run > n // 4 GROUP BY label), w AS (SELECT label, count(*) AS blocks FROM b GROUP BY label) SELECT label, blocks, CAST(coalesce(n, 0) AS BIGINT) AS n, "
 
 
 def _reading(spark_rows, scale):
@@ -206,7 +206,7 @@ def _reading(spark_rows, scale):
     return spark_rows.groupBy("label").agg(F.count("*").alias("blocks")).join(first, "label", "left").select("label", "blocks", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") * 8 >= F.col("blocks"), F.col("bin") * scale).otherwise(0).cast("long").alias("level"))
 
 
-@query(f"{_P}, b AS (SELECT label, {_sum('px')} // 64 AS mean, CAST(least(({_LAP}) * 16 // 36 // 4, 511) AS BIGINT) AS bin FROM q), {_READ} CASE WHEN n * 8 >= blocks THEN bin * 16 ELSE 0 END AS level FROM w LEFT JOIN f USING (label)")
+@query(f"{_P}, b AS (SELECT label, {_sum('px')} // 64 AS mean, CAST(least(({_LAP}) * 16 // 36 // 4, 511) AS BIGINT) AS bin FROM q), {_READ} CAST(CASE WHEN n * 8 >= blocks THEN bin * 16 ELSE 0 END AS BIGINT) AS level FROM w LEFT JOIN f USING (label)")
 def spatial_noise(spark, sf_dir):
     """The quartile of the blocks' mean absolute Laplacian, a quarter of it in sixteenths; blocks near black or white do not count."""
     lap = sum((F.abs(4 * _at("px", y, x) - _at("px", y - 1, x) - _at("px", y + 1, x) - _at("px", y, x - 1) - _at("px", y, x + 1)) for y in range(1, 7) for x in range(1, 7)), F.lit(0))
@@ -218,7 +218,7 @@ _BESIDE = f"{_P}, n AS (SELECT a.vec_id, a.label, a.px, b.px AS after FROM q a J
 _ERR = _sum("list_transform(list_zip(px, after), lambda z: abs(z[1] - z[2]))")
 
 
-@query(f"{_BESIDE}, b AS (SELECT label, {_sum('px')} // 64 AS mean, least({_ERR} * 16 // 64, 1023) AS bin FROM n), {_READ} CASE WHEN n * 8 >= blocks THEN bin ELSE 0 END AS level FROM w LEFT JOIN f USING (label)")
+@query(f"{_BESIDE}, b AS (SELECT label, {_sum('px')} // 64 AS mean, least({_ERR} * 16 // 64, 1023) AS bin FROM n), {_READ} CAST(CASE WHEN n * 8 >= blocks THEN bin ELSE 0 END AS BIGINT) AS level FROM w LEFT JOIN f USING (label)")
 def temporal_noise(spark, sf_dir):
     """The quartile of the blocks' match errors against the next picture, in sixteenths."""
     q = samples(spark, sf_dir)
