@@ -397,10 +397,16 @@ class Join:
         full = self.rows.where("n > 0")
         nodes = full.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
         self.nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        self.spent: list[DataFrame] = []
         self.docs = docs.select(F.col(doc_id).alias("_id"), row_key(text).alias("_h"), F.col(text).alias("_text"))
         if self.rows.groupBy("_id", "_h").count().where("count > 1").limit(1).count():  # else each representative is one row
             self.docs = self.docs.dropDuplicates(["_id", "_h"])
 
+    def step(self, df: DataFrame, label: str) -> DataFrame:
+        """df, written; it goes when the links are all found."""
+        self.spent.append(written(df, label, few=True))
+        return self.spent[-1]
+
     def texts(self, nodes: DataFrame, few: bool) -> DataFrame:
         """The columns of nodes (with rep) and the text of the representative, in _text or compressed in _packed. few: at most BROADCAST_ROWS nodes."""
 
@@ -415,7 +421,7 @@ class Join:
         return joined.select(*nodes.columns, "_text" if few else "_packed")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """node, set (its sorted shingle hashes, 8 bytes each) of the wanted nodes."""
+        """node, set (its sorted shingle hashes, 8 bytes each) of the wanted nodes, which may be named more than once."""
 
         def run(parts):
             for batch in parts:
@@ -424,8 +430,10 @@ class Join:
                     yield pa.RecordBatch.from_arrays([batch.column("node").slice(x, y - x), pa.array([h[at[i] : at[i + 1]].astype("<u8").tobytes() for i in range(y - x)], pa.binary())], ["node", "set"])
             release()
 
-        own = written(self.nodes.select("node", "rep").join(wanted, "node", "left_semi"), "wanted", few=True)
-        return written(self.texts(own, own.count() <= BROADCAST_ROWS).mapInArrow(run, "node long, set binary"), "sets", few=True)
+        own = written(self.nodes.select("node", "rep").join(wanted, "node", "left_semi"), "wanted")
+        out = self.step(self.texts(own, own.count() <= BROADCAST_ROWS).mapInArrow(run, "node long, set binary"), "sets")
+        discard(own)
+        return out
 
     def compared(self, pairs: DataFrame, sets: DataFrame, with_set, schema: str) -> DataFrame:
         """with_set(a, own set, [b], [set of b]) -> table, for the pairs (a, b). Each pair moves one set: the pairs of a node meet its set, in groups of about TOGETHER."""
@@ -466,14 +474,14 @@ class Join:
             close = written(close.join(side("a", column), "a").join(side("b", column), "b").where("7 * abs(na - nb) <= na + nb").mapInArrow(near, "a long, b long"), "close", few=True)
             if column == "wide":
                 discard(before)
-        held = self.sets(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
+        held = self.sets(close.select(F.col("a").alias("node")).union(close.select("b")))
 
         def same(a: int, own: np.ndarray, b: np.ndarray, others: list[np.ndarray]) -> pa.Table:
             both = np.array([len(np.intersect1d(own, x, assume_unique=True)) for x in others])
             keep = b[100 * both >= PERCENT * (len(own) + np.array([len(x) for x in others]) - both)]
             return pa.table({"a": np.full(len(keep), a), "b": keep})
 
-        links = written(self.compared(close, held, same, "a long, b long"), "links", few=True)
+        links = self.step(self.compared(close, held, same, "a long, b long"), "links")
         discard(close, held)
         return links
 
@@ -481,7 +489,7 @@ class Join:
         """node, pop: how many nodes share its least hashes, of the nodes that share any; in a group of near copies, most for those in its middle."""
         keyed = self.nodes.select("node", F.explode("keys").alias("key"))
         shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        return written(keyed.join(shared, "key").groupBy("node").agg(F.least(F.sum("m"), F.lit(2_000_000_000)).cast("int").alias("pop")), "central", few=True)
+        return self.step(keyed.join(shared, "key").groupBy("node").agg(F.least(F.sum("m"), F.lit(2_000_000_000)).cast("int").alias("pop")), "central")
 
     def led(self, central: DataFrame) -> DataFrame:
         """Pairs of a node with the most central of those that share one of its least hashes."""
@@ -501,6 +509,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
         found = some.select("set").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select("h").toArrow()
+        discard(some)
         return np.sort(found.column("h").to_numpy().view(np.uint64))
 
     def scheme(self) -> Scheme:
@@ -542,7 +551,7 @@ class Join:
             release()
 
         blobs = self.texts(nodes, False).mapInArrow(run, "p long, blob binary")
-        return written(blobs.groupBy("p").applyInArrow(lambda t: meeting(t, scheme.few), SIGNED), "signed", few=True)
+        return self.step(blobs.groupBy("p").applyInArrow(lambda t: meeting(t, scheme.few), SIGNED), "signed")
 
     def stuck(self, scheme: Scheme, signed: DataFrame, roots: DataFrame, central: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(x, p): stuck nodes and their pivots, a negative number for the empty set; and the sets of all of them. In place of a pivot stands the most central node of the component
@@ -598,8 +607,9 @@ class Join:
         best = found.join(central.withColumnRenamed("node", "p"), "p").groupBy("x").agg(F.max_by("p", F.struct("pop", -F.col("p"))).alias("best"))
         whole = found.select("p").distinct().join(best.withColumnRenamed("x", "p"), "p", "left").withColumn("best", F.coalesce("best", "p"))
         whole = whole.join(roots.select(F.col("node").alias("best"), "root"), "best", "left").withColumn("root", F.coalesce("root", "best")).join(middle, "root", "left").select("p", F.coalesce("middle", "best").alias("middle"))
-        pairs = written(found.join(whole, "p").select("x", F.col("middle").alias("p")).distinct().unionByName(empty), "stuck", few=True)
-        return pairs, self.sets(pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct())
+        pairs = self.step(found.join(whole, "p").select("x", F.col("middle").alias("p")).distinct().unionByName(empty), "stuck")
+        discard(crowd, own, found)
+        return pairs, self.sets(pairs.select(F.col("x").alias("node")).union(pairs.select("p")))
 
     def rarest(self, scheme: Scheme, stuck: DataFrame, sets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
         """x: the stuck nodes whose rarest quarter of shingles holds one of more than RARE stuck nodes; and candidates (a, b), all similar pairs with another node among them."""
@@ -611,18 +621,53 @@ class Join:
                 kept = [v[common[np.minimum(np.searchsorted(common, v), len(common) - 1)] != v] if len(common) else v for v in h]
                 yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array([len(v) for v in h], pa.int64()), pa.array([v.view("<i8") for v in kept], pa.list_(pa.int64()))], ["x", "n", "tokens"])
 
-        nodes = written(stuck.join(sets.withColumnRenamed("node", "x"), "x").select("x", "set").mapInArrow(rare, "x long, n long, tokens array<long>"), "rare", few=True)
+        nodes = self.step(stuck.join(sets.withColumnRenamed("node", "x"), "x").select("x", "set").mapInArrow(rare, "x long, n long, tokens array<long>"), "rare")
         tokens = nodes.select("x", F.explode("tokens").alias("t"))
         shared = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
         ranked = tokens.join(shared, "t").select("x", "t", "c", F.row_number().over(Window.partitionBy("x").orderBy("c", "t")).alias("i"), F.count("*").over(Window.partitionBy("x")).alias("some"))
         facts = nodes.select("x", "n", F.size("tokens").alias("all")).join(roots, "x", "left").select("x", "n", "all", F.coalesce("rx", "x").alias("root"))
         # what no other stuck node has comes first
-        first = written(ranked.join(facts, "x").withColumn("i", F.col("i") + F.col("all") - F.col("some")).where("i <= n div 4 + 1").select("x", "n", "root", "t", "c", "i"), "first", few=True)
+        first = self.step(ranked.join(facts, "x").withColumn("i", F.col("i") + F.col("all") - F.col("some")).where("i <= n div 4 + 1").select("x", "n", "root", "t", "c", "i"), "first")
         full = facts.where("all < n div 4 + 1").select("x").unionByName(first.where(F.col("c") > RARE).select("x")).distinct()
         one, two = (first.where(F.col("c") <= RARE).select("t", *(F.col(c).alias(f"{c}{k}") for c in ("x", "n", "root", "i"))) for k in (1, 2))
         met = one.join(two, "t").where("x1 < x2 and root1 != root2 and 7 * abs(n1 - n2) <= n1 + n2 and 7 * (1 + least(n1 - i1, n2 - i2)) >= 3 * (n1 + n2)")
         return full, met.select(F.col("x1").alias("a"), F.col("x2").alias("b")).distinct()
 
+    def first(self, outer: DataFrame) -> DataFrame:
+        """p, x, n, d, out, root, some (the members of x's difference that another node of p has), t, i: the rarest of these members, all but the last least - 1, ranked from 1.
+
+        The nodes of a pivot are dealt into blocks s. How many nodes have a member is summed from blocks and goes back once a block: what a group has lost of its pivot is in most
+        differences, and would else be joined for each node anew."""
+
+        def counted(t: pa.Table) -> pa.Table:
+            h, c = np.unique(t.column("tokens").combine_chunks().flatten().to_numpy(), return_counts=True)
+            return pa.table({"p": np.full(len(h), t.column("p")[0].as_py()), "s": np.full(len(h), t.column("s")[0].as_py()), "t": h.astype(np.int64), "c": c.astype(np.int64)})
+
+        here = self.step(outer.select("p", "s", "tokens").groupBy("p", "s").applyInArrow(counted, "p long, s long, t long, c long"), "members")
+        shared = here.groupBy("p", "t").agg(F.sum("c").alias("c")).where("c > 1")
+        known = here.select("p", "s", "t").join(shared, ["p", "t"])
+
+        def ranked(t: pa.Table) -> pa.Table:
+            told = t.filter(pa.compute.is_valid(t.column("t")))
+            order = np.argsort(told.column("t").to_numpy())
+            key, count = told.column("t").to_numpy()[order], told.column("c").to_numpy()[order]
+            nodes = t.filter(pa.compute.is_null(t.column("t"))).drop_columns(["t", "c"])
+            members, some, takes = [], [], []
+            for v, least in zip(nodes.column("tokens"), nodes.column("least").to_pylist()):
+                v = v.values.to_numpy()
+                at = np.minimum(np.searchsorted(key, v), max(len(key) - 1, 0))
+                v, c = (v[on], count[at[on]]) if len(key) and (on := key[at] == v).any() else (v[:0], v[:0])
+                some.append(len(v))
+                members.append(v[np.lexsort((v, c))][: max(0, len(v) + 1 - least)])
+                takes.append(len(members[-1]))
+            of = np.repeat(np.arange(len(takes)), takes)
+            out = nodes.select(["p", "x", "n", "d", "out", "root"]).take(pa.array(of))
+            first = np.cumsum(takes) - takes
+            return out.append_column("some", pa.array(np.array(some, np.int64)[of])).append_column("t", pa.array(np.concatenate([*members, np.zeros(0, np.int64)]).astype(np.int64))).append_column("i", pa.array(np.arange(len(of)) - first[of] + 1))
+
+        sides = outer.withColumns({"t": F.lit(None).cast("long"), "c": F.lit(None).cast("long")}).unionByName(known, allowMissingColumns=True)
+        return sides.groupBy("p", "s").applyInArrow(ranked, "p long, x long, n long, d long, out boolean, root long, some long, t long, i long")
+
     def pivoted(self, scheme: Scheme, signed: DataFrame, roots: DataFrame, central: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links of stuck nodes with their pivots, and candidates (a, b) among the stuck nodes of a pivot."""
         pairs, sets = self.stuck(scheme, signed, roots, central)
@@ -649,20 +694,16 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("x"), n, pa.array([0] * len(h), pa.int64()), n, pa.array([False] * len(h)), pa.array(h, pa.list_(pa.int64()))], ["p", "x", "n", "m", "d", "near", "tokens"])
 
         alone = pairs.where("p < 0").join(sets.withColumnRenamed("node", "x"), "x").select("p", "x", "set").mapInArrow(whole, schema)
-        all_ = written(own.unionByName(alone).join(rooted("x"), "x", "left").join(rooted("p"), "p", "left").select("p", "x", "n", "m", "d", "near", "tokens", F.coalesce("rx", "x").alias("root"), (F.coalesce("rx", "x") == F.coalesce("rp", "p")).alias("inside")), "apart", few=True)
+        all_ = self.step(own.unionByName(alone).join(rooted("x"), "x", "left").join(rooted("p"), "p", "left").select("p", "x", "n", "m", "d", "near", "tokens", F.coalesce("rx", "x").alias("root"), (F.coalesce("rx", "x") == F.coalesce("rp", "p")).alias("inside")), "apart")
         links = all_.where("near and not inside").select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
         # only a pivot with a node outside its component has more to find: pairs of two inner ones are in one component
         outer = all_.withColumn("out", ~F.col("near") & ~F.col("inside"))
-        outer = outer.join(outer.where("out").select("p").distinct(), "p", "left_semi")
-        tokens = outer.select("p", "x", F.explode("tokens").alias("t"))
-        shared = tokens.groupBy("p", "t").agg(F.count("*").alias("c")).where("c > 1")
-        order = Window.partitionBy("p", "x").orderBy("c", "t")
-        ranked = tokens.join(shared, ["p", "t"]).select("p", "x", "t", F.row_number().over(order).alias("i"), F.count("*").over(Window.partitionBy("p", "x")).alias("some"))
+        blocks = outer.groupBy("p").agg(F.max("out").alias("wanted"), F.ceil(F.count("*") / TOGETHER).alias("m")).where("wanted").select("p", "m")
         # the overlap of the differences of an outer node and a similar one is (d + d' - distance) / 2: the least it can be, for each role, is what may be left out at the end.
         # The rarest come first, and of those what no other node has: d - some of them
         least = F.when(F.col("out"), F.greatest(F.lit(1), F.expr("d - n div 3"))).otherwise(F.expr("(7 * d + m - n) div 14 + 1"))
-        facts = outer.select("p", "x", "n", "d", "out", "root", least.alias("least"))
-        first = written(ranked.join(facts, ["p", "x"]).where("i - some <= 1 - least").select("p", "x", "n", "d", "out", "root", "t", "i", "some"), "first", few=True)
+        outer = outer.withColumn("least", least).drop("m").join(blocks, "p").select("p", F.pmod(F.xxhash64("x"), "m").alias("s"), "x", "n", "d", "out", "root", "least", "tokens")
+        first = self.step(self.first(outer), "first")
         if not first.where("out").limit(1).count():
             return links, met
         # most outer nodes are near one that is near the pivot: the nearest to it of those that share a rare member is tried before all pairs are
@@ -670,7 +711,8 @@ class Join:
         tried = self.verified(first.where("out").join(lead, ["p", "t"]).where("x != lead").select(F.least("x", "lead").alias("a"), F.greatest("x", "lead").alias("b")).distinct())
         links = links.unionByName(tried)
         now = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        first = written(first.drop("root").join(now.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "first", few=True)
+        self.spent.append(now)
+        first = self.step(first.drop("root").join(now.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "first")
         x = first.where("out").select(*(F.col(c).alias(c if c in ("p", "t") else f"{c}1") for c in first.columns))
         y = first.select(*(F.col(c).alias(c if c in ("p", "t") else f"{c}2") for c in first.columns))
         # seen from their first common member, the overlap is one and what follows in both
@@ -685,7 +727,9 @@ class Join:
         signed = self.signed(scheme, central, led)
         near, more = self.pivoted(scheme, signed, led, central)
         found = self.verified(signed.where("kind = 0").select("a", "b").unionByName(more).distinct())
-        return components(led.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(near).unionByName(found))
+        out = components(led.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(near).unionByName(found))
+        discard(led, *self.spent)
+        return out
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -119,6 +119,46 @@ def test_query(spark, sf_dir):
     assert got == brute(rows)
 
 
+def test_few_links_take_no_rounds_and_many_the_same_result(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(x, x) for x in range(3)] + [tuple(rng.sample(range(400), 2)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(50)] + [(2**62, -(2**62))]
+    edges, labels = spark.createDataFrame(links + links[:40], "a long, b long"), []
+    real = components.written
+    monkeypatch.setattr(components, "written", lambda df, label, *few, **more: labels.append(label) or real(df, label, *few, **more))
+    few = sorted(map(tuple, components.components(edges).collect()))
+    assert "edges" not in labels
+    monkeypatch.setattr(components, "SMALL", 0)
+    assert sorted(map(tuple, components.components(edges).collect())) == few and labels.count("edges") > 2
+    least = {x: x for link in links for x in link}
+    for _ in range(len(least)):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert few == sorted((x, r) for x, r in least.items() if x != r)
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def test_members_of_differences_are_counted_by_blocks(spark):
+    """Of 600 nodes of a pivot that have 40 members in common and 5 of their own, the rows joined with the counts go by blocks; ranks are those of all nodes."""
+    rng = random.Random(8)
+    nodes = [(p, x, x % 2 == 0, rng.randrange(1, 12), sorted({t * 7 - 100 for t in range(60) if rng.random() < 0.6} | {10**9 * (x + 1) + i for i in range(5)})) for p, top in ((3, 600), (4, 7)) for x in range(top)]
+    outer = spark.createDataFrame([(p, x % 3, x, 150, len(v), out, x, least, v) for p, x, out, least, v in nodes] + [(5, 0, 1, 9, 0, True, 1, 1, [])], "p long, s long, x long, n long, d long, out boolean, root long, least long, tokens array<long>")
+    join = partenum.Join(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    got = sorted((r.p, r.x, r.i, r.t, r.some, r.d, r.out) for r in join.first(outer).collect())
+    want = []
+    for pivot in (3, 4):
+        of = {}
+        for p, *_, v in nodes:
+            for t in v if p == pivot else ():
+                of[t] = of.get(t, 0) + 1
+        for p, x, out, least, v in nodes:
+            if p == pivot:
+                held = sorted((of[t], t) for t in v if of[t] > 1)
+                want += [(p, x, i + 1, t, len(held), len(v), out) for i, (_, t) in enumerate(held[: max(0, len(held) + 1 - least)])]
+    assert got == sorted(want)
+    joined = join.spent[-1].where("t < 1000").count()
+    assert joined <= 6 * 60 and sum(t < 1000 for *_, v in nodes for t in v) > 50 * joined
+
+
 def near_copies(seed, n, most):
     """n texts of 150 words that are one text with 0 to `most` words changed each; without the text itself, so that only some pairs are similar."""
     rng = random.Random(seed)
