@@ -1,5 +1,8 @@
 """The text formats as round trips: each query writes files of a format from the tables and reads them back through the format's reader."""
 
+import itertools
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import registration
@@ -147,54 +150,110 @@ _SET = [(66, 8), (0, 8), (30, 8), (0, 0), (0, 0), (0, 0), (2, 0), (1, 0), (0, 1)
 
 def _unit(head: int, fields: list[tuple[int, int]]) -> bytes:
     """A start code and a unit of the fields, with the stop bit, and a 3 after two zeros before a byte up to 3."""
-    bits = "".join(f"{v:0{n}b}" if n else "0" * ((v + 1).bit_length() - 1) + f"{v + 1:b}" for v, n in fields) + "1"
-    body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))
-    out = bytearray([head])
-    for c in body:
-        if out[-2:] == b"\x00\x00" and c <= 3:
-            out.append(3)
-        out.append(c)
-    return b"\x00\x00\x00\x01" + bytes(out)
+    value = size = 0
+    for v, n in fields:
+        if not n:
+            v, n = v + 1, 2 * (v + 1).bit_length() - 1
+        value, size = value << n | v, size + n
+    body = ((value << 1 | 1) << -(size + 1) % 8).to_bytes(size // 8 + 1)
+    if b"\x00\x00" in body:
+        out = bytearray()
+        for c in body:
+            if out[-2:] == b"\x00\x00" and c <= 3:
+                out.append(3)
+            out.append(c)
+        body = bytes(out)
+    return b"\x00\x00\x00\x01" + bytes([head]) + body
+
+
+def _timed(i: int, n: int) -> bytes:
+    """A timing message and a slice of event n, the i-th of its stream."""
+    key = n % 7 == 0
+    return _unit(0x06, [(0x0104, 16), (2 * i % 65536, 16), (n * 3 % 65536, 16)]) + _unit(0x65 if key else 0x41, [(0, 0), (n % 3, 0), (0, 0), (i % 16, 4), *([(n % 9, 0)] if key else []), (2 * i % 64, 6), (n, 0)])
+
+
+def _bits(fields) -> tuple[np.ndarray, np.ndarray]:
+    """The bodies of units by columns of fields, as 16 bytes a row, and how many of them count. A field has 57 bits at most, a row 127."""
+    high, low, size = np.uint64(0), np.uint64(0), 0
+    for v, n in fields:
+        v, n = np.asarray(v, np.uint64), np.asarray(n, np.uint64)
+        high, low, size = high << n | low >> np.uint64(1) >> (np.uint64(63) - n), low << n | v, size + n.astype(np.int64)
+    # left-justified behind the stop bit: by 64 and then by the rest
+    high, low, size = high << np.uint64(1) | low >> np.uint64(63), low << np.uint64(1) | np.uint64(1), size + 1
+    far, rest = size <= 64, (-size % 64).astype(np.uint64)
+    high, low = np.where(far, low, high), np.where(far, np.uint64(0), low)
+    high, low = high << rest | low >> np.uint64(1) >> (np.uint64(63) - rest), low << rest
+    return np.stack([high, low], 1).astype(">u8").view(np.uint8), -(-size // 8)
+
+
+def _timed_all(first: int, n: np.ndarray) -> bytes:
+    """_timed of events n, from the place `first` of their stream."""
+    i, one = first + np.arange(len(n)), np.ones(len(n), np.int64)
+    fixed = lambda *c: np.broadcast_to(np.array(c, np.uint8), (len(n), len(c)))
+    code = lambda v: (lambda w: [(0 * w, w - 1), (v + 1, w)])(np.frexp((v + 1).astype(np.float64))[1].astype(np.int64))
+    key, wide = n % 7 == 0, n >= 1 << 50
+    m = np.where(wide, 0, n)
+    picture = [(v, np.where(key, w, 0)) for v, w in code(np.where(key, n % 9, 0))]
+    body, size = _bits([(one, 1), *code(n % 3), (one, 1), (i % 16, 4), *((np.where(key, v, 0), w) for v, w in picture), (2 * i % 64, 6), *code(m)])
+    delays = np.stack([2 * i % 65536, n * 3 % 65536], 1).astype(">u2").view(np.uint8)
+    a, b = np.concatenate([fixed(1, 4), delays, fixed(0x80)], 1), np.concatenate([np.where(key, 0x65, 0x41).astype(np.uint8)[:, None], body], 1)
+    used = np.concatenate([np.ones((len(n), 17), bool), np.arange(16) < size[:, None]], 1)
+    data = np.concatenate([fixed(0, 0, 0, 1, 6), a, fixed(0, 0, 0, 1), b], 1)
+    escapes = lambda x: ((x[:, :-2] == 0) & (x[:, 1:-1] == 0) & (x[:, 2:] <= 3)).any(1)
+    # where a 3 may have to go in, and for numbers too long, a unit is written by itself
+    odd = np.flatnonzero(wide | escapes(a) | escapes(np.where(used[:, 16:], b, 255))).tolist()
+    out = []
+    for s, e in zip([0, *(k + 1 for k in odd)], [*odd, len(n)]):
+        out += [data[s:e][used[s:e]].tobytes(), *([_timed(first + e, int(n[e]))] if e < len(n) else [])]
+    return b"".join(out)
+
+
+def _named(df):
+    """With the kind: the name of the stream's file. A pattern that ends there would be tried from every place of the path, for every row."""
+    return df.withColumn("kind", F.regexp_replace(F.substring_index("stream", "/", -1), "[.]264$", ""))
 
 
 def streams(spark, sf_dir):
     """Streams written from the events, one for each type: a parameter set, then for each event a timing message and a slice. Returns the units as read back."""
     path = scratch(spark, "streams")
 
-    def run(pdf):
+    def write(rows):
+        """Writes each stream as its rows come, in order of kind and number."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
         import pyarrow.fs as pafs
 
-        p = pdf.sort_values("n")
-        data = _unit(0x67, _SET)
-        for i, n in enumerate(p["n"].tolist()):
-            key = n % 7 == 0
-            body = f"{(2 * i) % 65536:016b}{(n * 3) % 65536:016b}"
-            data += _unit(0x06, [(1, 8), (4, 8), *((int(body[k : k + 8], 2), 8) for k in range(0, 32, 8))])
-            data += _unit(0x65 if key else 0x41, [(0, 0), (n % 3, 0), (0, 0), (i % 16, 4), *([(n % 9, 0)] if key else []), ((2 * i) % 64, 6), (n, 0)])
         store, folder = pafs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        name = f"{folder}/{p['kind'].iloc[0]}.264"
-        with store.open_output_stream(name) as out:
-            out.write(data)
-        return p[["kind"]].head(1)
-
-    kinds = sorted(r.kind for r in events(spark, sf_dir).select("kind", "n").groupBy("kind").applyInPandas(run, "kind string").collect())  # one row a file
+        runs = ((pc.run_end_encode(b.column("kind")), b.column("n").to_numpy()) for b in rows)
+        each = ((k, p) for r, n in runs for k, p in zip(r.values.to_pylist(), np.split(n, r.run_ends.to_pylist()[:-1])))
+        for kind, group in itertools.groupby(each, lambda r: r[0]):
+            with store.open_output_stream(f"{folder}/{kind}.264") as out:
+                out.write(_unit(0x67, _SET))
+                i = 0
+                for _, n in group:
+                    out.write(_timed_all(i, n))
+                    i += len(n)
+            yield pa.RecordBatch.from_pydict({"kind": [kind]})
+
+    ordered = events(spark, sf_dir).select("kind", "n").repartition("kind").sortWithinPartitions("kind", "n")
+    kinds = sorted(r.kind for r in ordered.mapInArrow(write, "kind string").collect())  # one row a file
     annexb.register(spark)
-    return spark.read.format("annexb").load(",".join(f"{path}/{k}.264" for k in kinds)).withColumn("kind", F.regexp_extract("stream", "([^/]+)[.]264$", 1))
+    return spark.read.format("annexb").load(",".join(f"{path}/{k}.264" for k in kinds))
 
 
 @query(f"WITH e AS ({_E}), i AS (SELECT kind, n, row_number() OVER (PARTITION BY kind ORDER BY n) - 1 AS i FROM e) SELECT kind, CAST(2 * i + 2 AS INTEGER) AS seq, CAST(n % 3 AS INTEGER) AS slice_type, CAST(i % 16 AS INTEGER) AS frame_num, CASE WHEN n % 7 = 0 THEN CAST(n % 9 AS INTEGER) ELSE -1 END AS idr_pic_id, CAST((2 * i) % 64 AS INTEGER) AS poc_lsb FROM i")
 def read_slices(spark, sf_dir):
     """Slice headers read by the parameter set before them."""
     nals = streams(spark, sf_dir)
-    h = annexb.headers(nals).where("slice is not null").withColumn("kind", F.regexp_extract("stream", "([^/]+)[.]264$", 1))
+    h = _named(annexb.headers(nals).where("slice is not null"))
     return h.select("kind", "seq", "slice.slice_type", "slice.frame_num", "slice.idr_pic_id", "slice.poc_lsb").fillna(-1, ["idr_pic_id"])
 
 
 @query(f"WITH e AS ({_E}), i AS (SELECT kind, n, row_number() OVER (PARTITION BY kind ORDER BY n) - 1 AS i FROM e) SELECT kind, CAST(2 * i + 1 AS INTEGER) AS seq, CAST((2 * i) % 65536 AS BIGINT) AS removal_delay, CAST((n * 3) % 65536 AS BIGINT) AS output_delay, 160 AS width, 144 AS height, CAST(1000000 AS BIGINT) AS bit_rate, CAST(2000000 AS BIGINT) AS cpb_size FROM i")
 def read_timing(spark, sf_dir):
     """Timing messages, beside what the stream's parameter set says about picture and buffer."""
-    h = annexb.headers(streams(spark, sf_dir)).withColumn("kind", F.regexp_extract("stream", "([^/]+)[.]264$", 1))
+    h = _named(annexb.headers(streams(spark, sf_dir)))
     sets = h.where("sps is not null").select("kind", "sps")
     return h.where("type = 6").select("kind", "seq", F.explode("sei").alias("m")).join(sets, "kind").select("kind", "seq", "m.removal_delay", "m.output_delay", "sps.width", "sps.height", "sps.bit_rate", "sps.cpb_size")
 
@@ -203,7 +262,7 @@ def read_timing(spark, sf_dir):
 def read_access_units(spark, sf_dir):
     """Access units of a stream: each message opens one once slice data came before."""
     nals = streams(spark, sf_dir)
-    u = annexb.access_units(nals).withColumn("kind", F.regexp_extract("stream", "([^/]+)[.]264$", 1))
+    u = _named(annexb.access_units(nals))
     return u.select("kind", F.col("unit").cast("long").alias("unit"), F.size("nals").alias("units"), F.exists("nals", lambda x: x["type"] == 5).alias("key"))
 
 

@@ -1,5 +1,6 @@
 """H.264 Annex B streams: format("annexb") gives a row for each NAL unit; sequence parameter sets as structs; access units."""
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -10,6 +11,9 @@ from .y4m import open_input
 
 SCHEMA = "stream string, seq int, start bigint, size bigint, nal_size bigint, type int, ref_idc int, first_mb int, rbsp binary"
 
+#: Bytes of a stream that are looked at together.
+CHUNK = 1 << 20
+
 
 def split(data: bytes) -> list[tuple[int, int, int]]:
     """(start with the start code, first byte of the unit, end) of each unit; a zero byte before a start code belongs to it, so the sizes add up to the file."""
@@ -48,6 +52,44 @@ class Bits:
         return (k + 1) // 2 if k % 2 else -(k // 2)
 
 
+class Many:
+    """Fields of many units at once: each read gives an array, over all units or those of the given places. at and end count bits."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        # the eight bytes from each byte on, as one number
+        self.words = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
+        self.at, self.end = 8 * begin.astype(np.int64), 8 * end.astype(np.int64)
+
+    def ahead(self, at: np.ndarray) -> np.ndarray:
+        """The bits from a place on, at the upper end; 57 at least are right."""
+        return self.words[at >> 3].astype(np.uint64) << (at & 7).astype(np.uint64)
+
+    def step(self, n, which) -> np.ndarray:
+        at = np.array(self.at[which])
+        if (at + n > self.end[which]).any():
+            raise ValueError("the unit is too short")
+        self.at[which] = at + n
+        return at
+
+    def u(self, n: int, which=slice(None)) -> np.ndarray:
+        if n > 32:
+            if self.u(n - 32, which).any():
+                raise ValueError("a field is too large")
+            n = 32
+        word = self.ahead(self.step(n, which))
+        return (word >> np.uint64(64 - n)).astype(np.int64) if n else np.zeros(len(word), np.int64)
+
+    def ue(self, which=slice(None)) -> np.ndarray:
+        # 33 bits are exact as a double, whose exponent tells the zeros before the first one
+        zeros = 33 - np.frexp((self.ahead(self.at[which]) >> np.uint64(31)).astype(np.float64))[1].astype(np.int64)
+        if (zeros > 32).any():
+            raise ValueError("not an Exp-Golomb code")
+        self.step(zeros + 1, which)
+        rest = self.ahead(self.step(zeros, which)) >> np.uint64(1) >> (63 - zeros).astype(np.uint64)
+        return (np.int64(1) << zeros) - 1 + rest.astype(np.int64)
+
+
 def scaling_list(b: Bits, size: int) -> None:
     """Steps over a list of weights, coded as differences that end where the next would be 0."""
     last = following = 8
@@ -211,28 +253,62 @@ class Whole(InputPartition):
         self.path = path
 
 
+def batches(path: str, f, schema):
+    """Rows of a stream by chunks: what is read so far up to its last start code, as the unit there may go on."""
+    import pyarrow as pa
+
+    held, begun, n, more = b"", 0, 0, True
+    while more:
+        chunk = f.read(CHUNK)
+        more, held = bool(chunk), held + chunk
+        a = np.frombuffer(held, np.uint8)
+        code = np.flatnonzero((a[:-2] == 0) & (a[1:-1] == 0) & (a[2:] == 1)) if len(a) > 2 else np.zeros(0, np.int64)
+        if not more and held and not len(code):
+            raise ValueError("no start code")
+        # a zero byte before a start code belongs to it, and what is before the first unit to that
+        start, body = code - ((code > 0) & (a[code - 1] == 0)), code + 3
+        start[:1] = 0
+        end = np.append(start[1:], len(a))
+        if more:
+            start, body, end = start[:-1], body[:-1], end[:-1]
+        if not len(body):
+            continue
+        if (body >= end).any():
+            raise ValueError(f"unit {n + int(np.argmax(body >= end))} is empty")
+        head, last = a[body], int(end[-1])
+        inside = np.zeros(last + 1, np.int8)
+        inside[body + 1] += 1
+        inside[end] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        # the byte 3 that follows two zeros, all three after the unit's first byte
+        three = np.flatnonzero((a[: last - 2] == 0) & (a[1 : last - 1] == 0) & (a[2:last] == 3))
+        inside[three[inside[three]] + 2] = False
+        rbsp = a[:last][inside]
+        edges = np.concatenate([[0], np.cumsum(np.add.reduceat(inside, body, dtype=np.int64))])
+        kind = head & 31
+        slices = np.flatnonzero((kind == 1) | (kind == 5))
+        first = np.zeros(len(body), np.int64)
+        first[slices] = Many(rbsp, edges[slices], np.minimum(edges[slices + 1], edges[slices] + 9)).ue()
+        other = np.ones(len(body), bool)
+        other[slices] = False
+        columns = {"stream": pa.repeat(pa.scalar(path), len(body)), "seq": n + np.arange(len(body)), "start": begun + start, "size": end - start, "nal_size": end - body, "type": kind, "ref_idc": head >> 5 & 3, "first_mb": pa.array(first, mask=other)}
+        columns["rbsp"] = pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(rbsp)])
+        yield pa.RecordBatch.from_arrays([(v if isinstance(v, pa.Array) else pa.array(v)).cast(schema.field(k).type) for k, v in columns.items()], schema=schema)
+        held, begun, n = held[last:], begun + last, n + len(body)
+
+
 class AnnexbReader(DataSourceReader):
     """A stream a task: units begin where the one before ends, so a stream is read in order. Paths are separated by commas."""
 
-    def __init__(self, options: dict):
-        self.paths = options["path"].split(",")
+    def __init__(self, options: dict, schema):
+        self.paths, self.schema = options["path"].split(","), schema
 
     def partitions(self):
         return [Whole(p) for p in self.paths]
 
     def read(self, part):
         with open_input(part.path) as f:
-            data = f.read()
-        units = split(data)
-        if data and not units:
-            raise ValueError("no start code")
-        for n, (start, body, end) in enumerate(units):
-            nal = data[body:end]
-            if not nal:
-                raise ValueError(f"unit {n} is empty")
-            kind, rbsp = nal[0] & 31, unescape(nal[1:])
-            first = Bits(rbsp[:9]).ue() if kind in (1, 5) else None
-            yield (part.path, n, start, end - start, len(nal), kind, nal[0] >> 5 & 3, first, rbsp)
+            yield from batches(part.path, f, to_arrow_schema(self.schema))
 
 
 class Annexb(DataSource):
@@ -244,7 +320,7 @@ class Annexb(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return AnnexbReader(self.options)
+        return AnnexbReader(self.options, schema)
 
 
 def register(spark) -> None:
@@ -256,9 +332,6 @@ def access_units(nals: DataFrame) -> DataFrame:
     kind = F.col("type")
     slices = kind.isin(1, 5)
     opens = kind.isin(6, 7, 8, 9, 14, 15, 16, 17, 18)
-    # a slice with first_mb 0 opens a unit as well as being body; it is looked at as both
-    before = nals.withColumn("_vcl", slices)
-    spread = before.withColumn("_two", F.explode(F.when(slices & (F.col("first_mb") == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
-    spread = spread.withColumn("_order", F.col("seq") * 2 + F.col("_two"))
-    x = sessions(spread, "stream", "_order", opens | (F.col("_two") == 0), slices & (F.col("_two") == 1)).where("_two = 1")
+    # a slice with first_mb 0 opens a unit as well as being body: it opens by the rows before it, and to those after it it is body
+    x = sessions(nals, "stream", "seq", opens | (slices & (F.col("first_mb") == 0)), slices)
     return x.groupBy("stream", "unit").agg(F.sum("size").alias("bytes"), F.sum(F.when(slices, F.col("nal_size")).otherwise(0)).alias("vcl_bytes"), F.array_sort(F.collect_list(F.struct("seq", "type"))).alias("nals"))
