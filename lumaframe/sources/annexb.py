@@ -1,7 +1,7 @@
 """H.264 Annex B streams: format("annexb") gives a row for each NAL unit; sequence parameter sets as structs; access units."""
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -171,46 +171,65 @@ def parameters(rbsp: bytes) -> dict:
     return out
 
 
-def slice_header(rbsp: bytes, kind: int, sps: dict) -> dict:
-    """The fields of a slice up to its picture order count."""
-    b = Bits(rbsp[:64])
-    out = {"first_mb": b.ue(), "slice_type": b.ue() % 5, "pps_id": b.ue(), "frame_num": b.u(sps["log2_max_frame_num"]), "idr_pic_id": None, "poc_lsb": None}
-    if not sps["frames_only"] and b.u(1):
-        b.u(1)
-    if kind == 5:
-        out["idr_pic_id"] = b.ue()
+def slice_headers(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np.ndarray, sps: dict) -> dict[str, np.ndarray]:
+    """The fields of slices up to their picture order count, all read by one parameter set; -1 for those a slice does not have."""
+    b = Many(data, begin, np.minimum(end, begin + 64))
+    out = {"first_mb": b.ue(), "slice_type": b.ue() % 5, "pps_id": b.ue(), "frame_num": b.u(sps["log2_max_frame_num"])}
+    out |= {k: np.full(len(begin), -1, np.int64) for k in ("idr_pic_id", "poc_lsb")}
+    if not sps["frames_only"]:
+        b.u(1, np.flatnonzero(b.u(1)))
+    idr = np.flatnonzero(kind == 5)
+    out["idr_pic_id"][idr] = b.ue(idr)
     if sps["pic_order_cnt_type"] == 0:
         out["poc_lsb"] = b.u(sps["log2_max_poc_lsb"])
     return out
 
 
-def messages(rbsp: bytes, sps: dict | None) -> list[dict]:
-    """The messages of an SEI unit: type, size, and the delays of those of the buffer (0), of timing (1) and of recovery (6)."""
-    out, at, vui = [], 0, (sps or {}).get("vui") or {}
-    while at < len(rbsp) and rbsp[at:] != b"\x80":
-        kind = size = 0
-        while rbsp[at] == 255:
-            kind, at = kind + 255, at + 1
-        kind, at = kind + rbsp[at], at + 1
-        while rbsp[at] == 255:
-            size, at = size + 255, at + 1
-        size, at = size + rbsp[at], at + 1
-        body, row = rbsp[at : at + size], {"type": kind, "size": size, "initial_delay": None, "removal_delay": None, "output_delay": None, "recovery": None}
-        if len(body) != size:
+def messages(data: np.ndarray, begin: np.ndarray, end: np.ndarray, sps: dict | None) -> dict[str, np.ndarray]:
+    """The messages of SEI units, all read by one parameter set, in the order of units and in them: unit (its place), type, size, and the delays of those of the buffer (0), of timing (1) and of recovery (6); -1 for what a message does not have.
+
+    The first messages of all units are read together, then the second ones, and so on.
+    """
+    vui = (sps or {}).get("vui") or {}
+    hrd, at, live, rounds = vui.get("nal") or vui.get("vcl"), begin.astype(np.int64), np.arange(len(begin)), []
+
+    def coded() -> np.ndarray:
+        """A number as a sum of bytes, of which only the last is under 255."""
+        total, going = np.zeros(len(live), np.int64), np.arange(len(live))
+        while len(going):
+            places = live[going]
+            if (at[places] >= end[places]).any():
+                raise ValueError("a message is longer than its unit")
+            byte = data[at[places]]
+            total[going] += byte
+            at[places] += 1
+            going = going[byte == 255]
+        return total
+
+    while True:
+        live = live[at[live] < end[live]]
+        live = live[~((at[live] == end[live] - 1) & (data[at[live]] == 0x80))]
+        if not len(live):
+            break
+        row = {"unit": live, "type": coded(), "size": coded()} | {k: np.full(len(live), -1, np.int64) for k in ("initial_delay", "removal_delay", "output_delay", "recovery")}
+        rest = at[live] + row["size"]
+        if (rest > end[live]).any():
             raise ValueError("a message is longer than its unit")
-        at += size
-        hrd = vui.get("nal") or vui.get("vcl")
-        if kind == 0 and hrd:
-            b = Bits(body)
-            b.ue()
-            row["initial_delay"] = b.u(hrd["initial_length"])
-        elif kind == 1 and hrd:
-            b = Bits(body)
-            row["removal_delay"], row["output_delay"] = b.u(hrd["removal_length"]), b.u(hrd["output_length"])
-        elif kind == 6:
-            row["recovery"] = Bits(body).ue()
-        out.append(row)
-    return out
+        b = Many(data, at[live], rest)
+        at[live] = rest
+        if hrd:
+            k = np.flatnonzero(row["type"] == 0)
+            b.ue(k)
+            row["initial_delay"][k] = b.u(hrd["initial_length"], k)
+            k = np.flatnonzero(row["type"] == 1)
+            row["removal_delay"][k], row["output_delay"][k] = b.u(hrd["removal_length"], k), b.u(hrd["output_length"], k)
+        k = np.flatnonzero(row["type"] == 6)
+        row["recovery"][k] = b.ue(k)
+        rounds.append(row)
+    names = ("unit", "type", "size", "initial_delay", "removal_delay", "output_delay", "recovery")
+    out = {n: np.concatenate([np.zeros(0, np.int64), *(r[n] for r in rounds)]) for n in names}
+    order = np.argsort(out["unit"], kind="stable")
+    return {n: v[order] for n, v in out.items()}
 
 
 _SPS = "struct<profile_idc: int, level_idc: int, width: int, height: int, bit_depth: int, `references`: int, tick: bigint, time_scale: bigint, bit_rate: bigint, cpb_size: bigint, cbr: boolean>"
@@ -218,34 +237,73 @@ _SLICE = "struct<first_mb: int, slice_type: int, pps_id: int, frame_num: int, id
 _SEI = "array<struct<type: int, size: int, initial_delay: bigint, removal_delay: bigint, output_delay: bigint, recovery: int>>"
 
 
+def _set_row(sps: dict) -> dict:
+    """A parameter set as the struct of `headers`; of its schedules the first."""
+    vui = sps["vui"] or {}
+    one = next(iter((vui.get("nal") or vui.get("vcl") or {}).get("schedules", [])), {})
+    return {**{k: sps[k] for k in ("profile_idc", "level_idc", "width", "height", "bit_depth", "references")}, "tick": vui.get("tick"), "time_scale": vui.get("time_scale"), "bit_rate": one.get("bit_rate"), "cpb_size": one.get("cpb_size"), "cbr": one.get("cbr")}
+
+
 def headers(nals: DataFrame) -> DataFrame:
     """stream, seq, type and the parsed header of each unit: sps of parameter sets, slice of slices, sei of messages; null for other types.
 
-    A unit is read by the last parameter set before it in its stream, which a window carries forward as bytes; every unit is then parsed by itself.
+    A unit is read by the last parameter set before it in its stream, which is carried along the sorted rows; the units of a batch that share a set are parsed together.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    last = F.last(F.when(F.col("type") == 7, F.col("rbsp")), ignorenulls=True).over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     schema = f"stream string, seq int, type int, sps {_SPS}, slice {_SLICE}, sei {_SEI}"
-    wanted = nals.sparkSession.createDataFrame([], schema).schema
+    types = to_arrow_schema(nals.sparkSession.createDataFrame([], schema).schema)
 
     def run(parts):
-        known: dict[bytes, dict] = {}
-        types = to_arrow_schema(wanted)
+        known: dict[bytes, int] = {}  # the place of a set in those below
+        sets: list[dict] = []
+        heads, message = pa.array([], types.field("sps").type), types.field("sei").type.value_type
+        stream, now = None, -1
+        # a field that is not there is below 0
+        struct = lambda kind, values, **more: pa.StructArray.from_arrays([pa.array(values[f.name], mask=values[f.name] < 0).cast(f.type) for f in kind], fields=list(kind), **more)
         for batch in parts:
-            rows = {"sps": [], "slice": [], "sei": []}
-            for kind, rbsp, set_ in zip(*(batch.column(c).to_pylist() for c in ("type", "rbsp", "_set"))):
-                if set_ is not None and set_ not in known:
-                    known[set_] = parameters(set_)
-                sps = known.get(set_)
-                vui = (sps or {}).get("vui") or {}
-                one = next(iter((vui.get("nal") or vui.get("vcl") or {}).get("schedules", [])), {})
-                rows["sps"].append({**{k: sps[k] for k in ("profile_idc", "level_idc", "width", "height", "bit_depth", "references")}, "tick": vui.get("tick"), "time_scale": vui.get("time_scale"), "bit_rate": one.get("bit_rate"), "cpb_size": one.get("cpb_size"), "cbr": one.get("cbr")} if kind == 7 else None)
-                rows["slice"].append(slice_header(rbsp, kind, sps) if kind in (1, 5) and sps else None)
-                rows["sei"].append(messages(rbsp, sps) if kind == 6 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("stream", "seq", "type")] + [pa.array(rows[c], types.field(c).type) for c in rows], schema=types)
-
-    return nals.withColumn("_set", last).select("stream", "seq", "type", "rbsp", "_set").mapInArrow(run, schema)
+            if not batch.num_rows:
+                continue
+            kind, names, units = batch.column("type").to_numpy(), batch.column("stream"), batch.column("rbsp").cast(pa.large_binary())
+            edges = np.frombuffer(units.buffers()[1], np.int64)[units.offset :][: len(kind) + 1]
+            data = np.frombuffer(units.buffers()[2] or b"", np.uint8)
+            fresh = np.append([names[0].as_py() != stream], pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
+            ids, at = np.empty(len(kind), np.int64), 0
+            for k in np.flatnonzero(fresh | (kind == 7)).tolist():
+                ids[at:k], at = now, k
+                now = -1 if fresh[k] else now
+                if kind[k] == 7:
+                    set_ = units[k].as_py()
+                    if set_ not in known:
+                        known[set_] = len(sets)
+                        sets.append(parameters(set_))
+                    now = known[set_]
+            ids[at:], stream = now, names[-1].as_py()
+
+            slices = np.isin(kind, (1, 5)) & (ids >= 0)
+            fields = {f.name: np.full(len(kind), -1, np.int64) for f in types.field("slice").type}
+            found = []
+            for one in np.unique(ids[slices]):
+                k = np.flatnonzero(slices & (ids == one))
+                for f, v in slice_headers(data, edges[k], edges[k + 1], kind[k], sets[one]).items():
+                    fields[f][k] = v
+            for one in np.unique(ids[kind == 6]):
+                k = np.flatnonzero((kind == 6) & (ids == one))
+                got = messages(data, edges[k], edges[k + 1], sets[one] if one >= 0 else None)
+                found.append(got | {"unit": k[got["unit"]]})
+            sei = {f: np.concatenate([np.zeros(0, np.int64), *(x[f] for x in found)]) for f in ("unit", *(f.name for f in message))}
+            order = np.argsort(sei["unit"], kind="stable")
+            counts = np.cumsum(np.append(0, np.bincount(sei.pop("unit"), minlength=len(kind)))).astype(np.int32)
+            if len(heads) != len(sets):
+                heads = pa.array([_set_row(x) for x in sets], types.field("sps").type)
+            columns = list(batch.select(["stream", "seq", "type"]).columns) + [heads.take(pa.array(ids, mask=kind != 7)), struct(types.field("slice").type, fields, mask=pa.array(~slices))]
+            columns.append(pa.ListArray.from_arrays(pa.array(counts), struct(message, {f: v[order] for f, v in sei.items()}), type=types.field("sei").type, mask=pa.array(kind != 6)))
+            yield pa.RecordBatch.from_arrays(columns, schema=types)
+
+    # of a slice, its first bytes are all that is read
+    part = F.when(F.col("type").isin(1, 5), F.substring("rbsp", 1, 64)).when(F.col("type").isin(6, 7), F.col("rbsp"))
+    return nals.select("stream", "seq", "type", part.alias("rbsp")).repartition("stream").sortWithinPartitions("stream", "seq").mapInArrow(run, schema)
 
 
 class Whole(InputPartition):

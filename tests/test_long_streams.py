@@ -21,7 +21,7 @@ def long_sf(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["read_access_units"])
+@pytest.mark.parametrize("name", ["read_access_units", "read_slices"])
 def test_a_long_stream_takes_time_in_proportion(spark, long_sf, tmp_path, name):
     began = time.time()
     catalogue.QUERIES[name](spark, long_sf).write.parquet(str(tmp_path / "got"))
@@ -58,3 +58,35 @@ def test_a_stream_is_read_alike_by_chunks_of_any_size(spark, monkeypatch):
     for bad in (b"abc", b"\x00\x00\x01\x00\x00\x01\x41\x80", b"\x00\x00\x01\x41", b"\x00\x00\x01\x41\x00\x00"):
         with pytest.raises(ValueError):
             list(annexb.batches("s", io.BytesIO(bad), schema))
+
+
+def test_headers_follow_the_last_set_of_their_own_stream(spark):
+    """Two sets of other lengths in a stream, slices before the first, another stream without any, rows in any order and small batches."""
+    sets = [format_queries._unit(0x67, [(66, 8), (0, 8), (30, 8), (0, 0), (w, 0), (0, 0), (w, 0), (1, 0), (0, 1), (w, 0), (8, 0), (1, 1), (0, 1), (0, 1), (0, 1)])[5:] for w in (1, 7)]
+    slice_ = lambda key, number, w: format_queries._unit(0, [(0, 0), (7, 0), (0, 0), (number, 4 + w), *([(5, 0)] if key else []), (number, 4 + w)])[5:]
+    rows = [("a", 0, 1, slice_(0, 3, 1)), ("a", 1, 7, sets[0]), ("a", 2, 5, slice_(1, 17, 1)), ("a", 3, 9, b""), ("a", 4, 7, sets[1]), ("a", 5, 1, slice_(0, 1900, 7)), ("a", 6, 7, sets[0]), ("a", 7, 1, slice_(0, 30, 1)), ("b", 0, 5, slice_(1, 1, 1)), ("b", 1, 6, b"\x06\x01\xa0\x80")]
+    random.Random(4).shuffle(rows)
+    nals = spark.createDataFrame([(s, q, t, bytearray(x)) for s, q, t, x in rows], "stream string, seq int, type int, rbsp binary").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "2000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r.stream, r.seq): r for r in annexb.headers(nals).collect()}
+            assert len(got) == 10
+            assert {k: (r.slice.frame_num, r.slice.idr_pic_id, r.slice.poc_lsb, r.slice.slice_type) for k, r in got.items() if r.slice} == {("a", 2): (17, 5, 17, 2), ("a", 5): (1900, None, 1900, 2), ("a", 7): (30, None, 30, 2)}
+            assert {k: (r.sps.width, r.sps.bit_rate) for k, r in got.items() if r.sps} == {("a", 1): (32, None), ("a", 4): (128, None), ("a", 6): (32, None)}
+            assert {k: [(m.type, m.size, m.recovery) for m in r.sei] for k, r in got.items() if r.sei is not None} == {("b", 1): [(6, 1, 0)]}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_messages_of_many_units():
+    hrd = {"vui": {"vcl": {"initial_length": 24, "removal_length": 16, "output_length": 8}}}
+    units = [b"\x00\x04\x80\x00\x00\x90\x01\x03\x00\x05\x07\x80", b"\x80", b"\xff\x06\xff\x01" + b"x" * 256 + b"\x06\x01\xff\x80", b"\x01\x03\xff\xff\xff"]
+    edges, data = np.cumsum([0, *map(len, units)]), np.frombuffer(b"".join(units), np.uint8)
+    got = annexb.messages(data, edges[:-1], edges[1:], hrd)
+    assert list(zip(*(v.tolist() for v in got.values()))) == [(0, 0, 4, 1 << 0, -1, -1, -1), (0, 1, 3, -1, 5, 7, -1), (2, 261, 256, -1, -1, -1, -1), (2, 6, 1, -1, -1, -1, 0), (3, 1, 3, -1, 65535, 255, -1)]
+    assert annexb.messages(data, edges[:-1], edges[1:], None)["removal_delay"].tolist() == [-1] * 5
+    for bad in (b"\x01", b"\x01\x05abc", b"\xff", b"\x01\x01\x00\x80", b"\x80\x80"):
+        with pytest.raises(ValueError):
+            annexb.messages(np.frombuffer(bad, np.uint8), np.array([0]), np.array([len(bad)]), hrd)
