@@ -252,10 +252,9 @@ def read_slices(spark, sf_dir):
 
 @query(f"WITH e AS ({_E}), i AS (SELECT kind, n, row_number() OVER (PARTITION BY kind ORDER BY n) - 1 AS i FROM e) SELECT kind, CAST(2 * i + 1 AS INTEGER) AS seq, CAST((2 * i) % 65536 AS BIGINT) AS removal_delay, CAST((n * 3) % 65536 AS BIGINT) AS output_delay, 160 AS width, 144 AS height, CAST(1000000 AS BIGINT) AS bit_rate, CAST(2000000 AS BIGINT) AS cpb_size FROM i")
 def read_timing(spark, sf_dir):
-    """Timing messages, beside what the stream's parameter set says about picture and buffer."""
-    h = _named(annexb.headers(streams(spark, sf_dir)))
-    sets = h.where("sps is not null").select("kind", "sps")
-    return h.where("type = 6").select("kind", "seq", F.explode("sei").alias("m")).join(sets, "kind").select("kind", "seq", "m.removal_delay", "m.output_delay", "sps.width", "sps.height", "sps.bit_rate", "sps.cpb_size")
+    """Timing messages, beside what the parameter set that they are read by says about picture and buffer: the streams are read once."""
+    h = _named(annexb.headers(streams(spark, sf_dir), with_set=True).where("type = 6"))
+    return h.select("kind", "seq", F.explode("sei").alias("m"), "by").select("kind", "seq", "m.removal_delay", "m.output_delay", "by.width", "by.height", "by.bit_rate", "by.cpb_size")
 
 
 @query(f"WITH e AS ({_E}), i AS (SELECT kind, n, row_number() OVER (PARTITION BY kind ORDER BY n) - 1 AS i FROM e) SELECT kind, i AS unit, CASE WHEN i = 0 THEN 3 ELSE 2 END AS units, n % 7 = 0 AS \"key\" FROM i")

@@ -244,15 +244,15 @@ def _set_row(sps: dict) -> dict:
     return {**{k: sps[k] for k in ("profile_idc", "level_idc", "width", "height", "bit_depth", "references")}, "tick": vui.get("tick"), "time_scale": vui.get("time_scale"), "bit_rate": one.get("bit_rate"), "cpb_size": one.get("cpb_size"), "cbr": one.get("cbr")}
 
 
-def headers(nals: DataFrame) -> DataFrame:
-    """stream, seq, type and the parsed header of each unit: sps of parameter sets, slice of slices, sei of messages; null for other types.
+def headers(nals: DataFrame, with_set: bool = False) -> DataFrame:
+    """stream, seq, type and the parsed header of each unit: sps of parameter sets, slice of slices, sei of messages; null for other types. With with_set also `by`, the parameter set that a unit is read by.
 
     A unit is read by the last parameter set before it in its stream, which is carried along the sorted rows; the units of a batch that share a set are parsed together.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    schema = f"stream string, seq int, type int, sps {_SPS}, slice {_SLICE}, sei {_SEI}"
+    schema = f"stream string, seq int, type int, sps {_SPS}, slice {_SLICE}, sei {_SEI}" + f", by {_SPS}" * with_set
     types = to_arrow_schema(nals.sparkSession.createDataFrame([], schema).schema)
 
     def run(parts):
@@ -299,6 +299,7 @@ def headers(nals: DataFrame) -> DataFrame:
                 heads = pa.array([_set_row(x) for x in sets], types.field("sps").type)
             columns = list(batch.select(["stream", "seq", "type"]).columns) + [heads.take(pa.array(ids, mask=kind != 7)), struct(types.field("slice").type, fields, mask=pa.array(~slices))]
             columns.append(pa.ListArray.from_arrays(pa.array(counts), struct(message, {f: v[order] for f, v in sei.items()}), type=types.field("sei").type, mask=pa.array(kind != 6)))
+            columns += [heads.take(pa.array(ids, mask=ids < 0))] * with_set
             yield pa.RecordBatch.from_arrays(columns, schema=types)
 
     # of a slice, its first bytes are all that is read

@@ -21,7 +21,7 @@ def long_sf(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["read_access_units", "read_slices"])
+@pytest.mark.parametrize("name", ["read_access_units", "read_slices", "read_timing"])
 def test_a_long_stream_takes_time_in_proportion(spark, long_sf, tmp_path, name):
     began = time.time()
     catalogue.QUERIES[name](spark, long_sf).write.parquet(str(tmp_path / "got"))
@@ -73,6 +73,7 @@ def test_headers_follow_the_last_set_of_their_own_stream(spark):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
             got = {(r.stream, r.seq): r for r in annexb.headers(nals).collect()}
             assert len(got) == 10
+            assert [r.by and r.by.width for _, r in sorted((((r.stream, r.seq), r) for r in annexb.headers(nals, with_set=True).collect()), key=lambda x: x[0])] == [None, 32, 32, 32, 128, 128, 32, 32, None, None]
             assert {k: (r.slice.frame_num, r.slice.idr_pic_id, r.slice.poc_lsb, r.slice.slice_type) for k, r in got.items() if r.slice} == {("a", 2): (17, 5, 17, 2), ("a", 5): (1900, None, 1900, 2), ("a", 7): (30, None, 30, 2)}
             assert {k: (r.sps.width, r.sps.bit_rate) for k, r in got.items() if r.sps} == {("a", 1): (32, None), ("a", 4): (128, None), ("a", 6): (32, None)}
             assert {k: [(m.type, m.size, m.recovery) for m in r.sei] for k, r in got.items() if r.sei is not None} == {("b", 1): [(6, 1, 0)]}
