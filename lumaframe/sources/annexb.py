@@ -1,12 +1,13 @@
 """H.264 Annex B streams: format("annexb") gives a row for each NAL unit; sequence parameter sets as structs; access units."""
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..operators.sequences import sessions
 from .y4m import open_input
 
 SCHEMA = "stream string, seq int, start bigint, size bigint, nal_size bigint, type int, ref_idc int, first_mb int, rbsp binary"
@@ -387,10 +388,45 @@ def register(spark) -> None:
 
 
 def access_units(nals: DataFrame) -> DataFrame:
-    """stream, unit, bytes, vcl_bytes, nals: a unit opens at a delimiter, parameter set or SEI, or a slice that starts a picture, once slice data came before."""
-    kind = F.col("type")
-    slices = kind.isin(1, 5)
-    opens = kind.isin(6, 7, 8, 9, 14, 15, 16, 17, 18)
-    # a slice with first_mb 0 opens a unit as well as being body: it opens by the rows before it, and to those after it it is body
-    x = sessions(nals, "stream", "seq", opens | (slices & (F.col("first_mb") == 0)), slices)
-    return x.groupBy("stream", "unit").agg(F.sum("size").alias("bytes"), F.sum(F.when(slices, F.col("nal_size")).otherwise(0)).alias("vcl_bytes"), F.array_sort(F.collect_list(F.struct("seq", "type"))).alias("nals"))
+    """stream, unit, bytes, vcl_bytes, nals: a unit opens at a delimiter, parameter set or SEI, or a slice that starts a picture, once slice data came before.
+
+    As `sequences.sessions` says, of consecutive openers the first counts: one whose last row before it that is opener or slice data is slice data. The sorted rows go by in batches, and
+    the last unit of a batch is held until the next opens.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    schema = "stream string, unit bigint, bytes bigint, vcl_bytes bigint, nals array<struct<seq: int, type: int>>"
+    types = to_arrow_schema(nals.sparkSession.createDataFrame([], schema).schema)
+
+    def run(parts):
+        held, unit = None, 0
+        for batch in itertools.chain(parts, [None]):
+            both = [b for b in (held, batch) if b is not None and b.num_rows]
+            if not both:
+                continue
+            rows = pa.Table.from_batches(both).combine_chunks().to_batches()[0]
+            kind, names, place = rows.column("type").to_numpy(), rows.column("stream"), np.arange(rows.num_rows)
+            # the first row is that of a held unit or of the first stream, so none before it is looked at
+            fresh = np.append([True], pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
+            began = np.maximum.accumulate(np.where(fresh, place, 0))
+            slices = np.isin(kind, (1, 5))
+            opens = np.isin(kind, (6, 7, 8, 9, 14, 15, 16, 17, 18))
+            before = np.append([-1], np.maximum.accumulate(np.where(slices | opens, place, -1))[:-1])
+            # a slice with first_mb 0 opens a unit as well as being body
+            new = (opens | slices & (rows.column("first_mb").fill_null(-1).to_numpy() == 0)) & (before >= began) & slices[before]
+            count = np.cumsum(new)
+            number = count - count[began] + np.where(began == 0, unit, 0)
+            starts = np.flatnonzero(new | fresh)
+            edges = np.append(starts, rows.num_rows)
+            if batch is not None:
+                held, unit = rows.slice(int(starts[-1])), int(number[starts[-1]])
+                starts, edges = starts[:-1], edges[:-1]
+            if not len(starts):
+                continue
+            end = int(edges[-1])
+            sums = [np.add.reduceat(v[:end], starts) for v in (rows.column("size").to_numpy(), np.where(slices, rows.column("nal_size").to_numpy(), 0))]
+            inner = pa.StructArray.from_arrays([rows.column(c) for c in ("seq", "type")], fields=list(types.field("nals").type.value_type))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(starts)), pa.array(number[starts]), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), inner, type=types.field("nals").type)], schema=types)
+
+    return nals.select("stream", "seq", "type", "size", "nal_size", "first_mb").repartition("stream").sortWithinPartitions("stream", "seq").mapInArrow(run, schema)

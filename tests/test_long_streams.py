@@ -7,8 +7,10 @@ import time
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lumaframe.operators.sequences import sessions
 from lumaframe.plans import catalogue, format_queries
 from lumaframe.sources import annexb
 
@@ -91,3 +93,20 @@ def test_messages_of_many_units():
     for bad in (b"\x01", b"\x01\x05abc", b"\xff", b"\x01\x01\x00\x80", b"\x80\x80"):
         with pytest.raises(ValueError):
             annexb.messages(np.frombuffer(bad, np.uint8), np.array([0]), np.array([len(bad)]), hrd)
+
+
+def test_access_units_are_those_of_sessions_for_any_batches(spark):
+    """Random types and streams in batches of one row and more, against the window form."""
+    rnd = random.Random(6)
+    rows = [(f"s{s}", q, rnd.randrange(30), t := rnd.choice((1, 1, 5, 6, 7, 9, 12, 2, 21)), rnd.choice((0, 0, 4)) if t in (1, 5) else None) for s in range(7) for q in range(rnd.randrange(1, 40))]
+    rnd.shuffle(rows)
+    nals = spark.createDataFrame(rows, "stream string, seq int, nal_size bigint, type int, first_mb int").withColumn("size", F.col("nal_size") + 4)
+    slices, opens = F.col("type").isin(1, 5), F.col("type").isin(6, 7, 9)
+    want = sessions(nals, "stream", "seq", opens | (slices & (F.col("first_mb") == 0)), slices).groupBy("stream", "unit").agg(F.sum("size"), F.sum(F.when(slices, F.col("nal_size")).otherwise(0)), F.array_sort(F.collect_list(F.struct("seq", "type"))))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "7", "2000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(map(tuple, annexb.access_units(nals).collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
